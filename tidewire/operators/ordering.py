@@ -31,9 +31,10 @@ def split_points(df: DataFrame, column: str, slices: int | None = None) -> list[
 def with_slice(df: DataFrame, column: str, cuts: Sequence[float], name: str = "_slice") -> DataFrame:
     """Slice number of each row: how many cuts lie at or below its value."""
     if not cuts:
-        return df.withColumn(name, F.lit(0.0))
+        return df.withColumn(name, F.lit(0))
     edges = [float("-inf"), *cuts, float("inf")]
-    return Bucketizer(splits=edges, inputCol=column, outputCol=name).transform(df)
+    sliced = Bucketizer(splits=edges, inputCol=column, outputCol=name).transform(df)
+    return sliced.withColumn(name, F.col(name).cast("int"))
 
 
 def same_keys(left: str, right: str, keys: Sequence[str]) -> Column:
@@ -44,6 +45,15 @@ def same_keys(left: str, right: str, keys: Sequence[str]) -> Column:
     )
 
 
+def group_key(by: Sequence[str]) -> Column:
+    """All group columns as one struct, which is never null and equal where all parts are.
+
+    A plain equality on it treats null groups as groups and, unlike a null-safe
+    equality, lets a join reuse the partitioning of the window before it.
+    """
+    return F.struct(*by) if by else F.lit(0)
+
+
 def running_totals(
     df: DataFrame,
     order: str,
@@ -55,22 +65,21 @@ def running_totals(
     """Add ``cum_<c>``, the sum of ``c`` up to and including each row.
 
     The input has one row per value of ``order`` and group; ``order`` is a double.
+    Slices are summed apart; the offsets table has one row per group and slice.
     """
-    by = list(by)
     way = F.desc if descending else F.asc
-    sliced = with_slice(df, order, cuts)
-    inside = Window.partitionBy(*by, "_slice").orderBy(way(order)).rowsBetween(Window.unboundedPreceding, 0)
-    earlier = Window.partitionBy(*by).orderBy(way("_slice")).rowsBetween(Window.unboundedPreceding, -1)
+    sliced = with_slice(df.withColumn("_by", group_key(by)), order, cuts)
+    inside = Window.partitionBy("_by", "_slice").orderBy(way(order)).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy("_by").orderBy(way("_slice")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        sliced.groupBy(*by, "_slice")
+        sliced.groupBy("_by", "_slice")
         .agg(*[F.sum(c).alias(f"_total_{c}") for c in sums])
-        .select(*by, "_slice", *[F.coalesce(F.sum(f"_total_{c}").over(earlier), F.lit(0)).alias(f"_before_{c}") for c in sums])
+        .select("_by", "_slice", *[F.coalesce(F.sum(f"_total_{c}").over(earlier), F.lit(0)).alias(f"_before_{c}") for c in sums])
     )
     rows = sliced.select("*", *[F.sum(c).over(inside).alias(f"_inside_{c}") for c in sums])
-    joined = rows.alias("r").join(offsets.alias("o"), same_keys("r", "o", [*by, "_slice"]))
-    return joined.select(
-        *[F.col(f"r.{c}") for c in df.columns],
-        *[(F.col(f"r._inside_{c}") + F.col(f"o._before_{c}")).alias(f"cum_{c}") for c in sums],
+    return rows.join(offsets, ["_by", "_slice"]).select(
+        *df.columns,
+        *[(F.col(f"_inside_{c}") + F.col(f"_before_{c}")).alias(f"cum_{c}") for c in sums],
     )
 
 
@@ -126,7 +135,8 @@ def exact_quantiles(df: DataFrame, value: str, shares: Mapping[str, float], by:
     running = running_totals(counts, "_value", ["_n"], by, split_points(present, "_value"))
     totals = counts.groupBy(*by).agg(F.sum("_n").alias("_all"))
     if by:
-        ranked = running.alias("r").join(totals.alias("t"), same_keys("r", "t", by)).select("r.*", "t._all")
+        keyed = totals.select(group_key(by).alias("_by"), "_all")
+        ranked = running.withColumn("_by", group_key(by)).join(keyed, "_by").drop("_by")
     else:
         ranked = running.withColumn("_all", totals.scalar())
     aggregates, results = [], []

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire import fixed_values as fv
@@ -76,8 +76,17 @@ def return_features(
     return _run(prices, SeriesOrder(("series_id",), order), reach, 1, compute, chunks)
 
 
+def _training_value(basis: str, train_end: str, end_included: bool) -> Column:
+    limit = F.lit(train_end).cast("date")
+    return F.when(F.col("date") <= limit if end_included else F.col("date") < limit, F.col(basis))
+
+
 def tail_threshold(
-    features: DataFrame, train_end: str, quantile: float, basis: str = "ret_t_plus_1", end_included: bool = True,
+    features: DataFrame,
+    train_end: str,
+    quantile: float,
+    basis: str = "ret_t_plus_1",
+    end_included: bool = True,
     bounded: bool = True,
 ) -> DataFrame:
     """The training quantile per series: ``series_id, tail_threshold_train``.
@@ -85,14 +94,27 @@ def tail_threshold(
     ``bounded`` series (one row per day) use one ``percentile`` aggregate; others
     the exact distributed quantile.
     """
-    limit = F.lit(train_end).cast("date")
-    in_train = F.col("date") <= limit if end_included else F.col("date") < limit
-    train = features.withColumn("_basis", F.when(in_train, F.col(basis)))
+    train = features.withColumn("_basis", _training_value(basis, train_end, end_included))
     if bounded:
         return train.groupBy("series_id").agg(F.percentile("_basis", quantile).alias("tail_threshold_train"))
     return exact_quantiles(train, "_basis", {"tail_threshold_train": quantile}, ["series_id"])
 
 
+def _with_threshold(
+    features: DataFrame, train_end: str, quantile: float, basis: str, end_included: bool, bounded: bool
+) -> DataFrame:
+    """Put the training quantile on every row of its series.
+
+    A bounded series already lies in one task, so the quantile is one more window
+    there and nothing is joined.
+    """
+    if bounded:
+        value = F.percentile(_training_value(basis, train_end, end_included), quantile)
+        return features.withColumn("tail_threshold_train", value.over(Window.partitionBy("series_id")))
+    threshold = tail_threshold(features, train_end, quantile, basis, end_included, bounded=False)
+    return features.join(threshold, "series_id", "left")
+
+
 def market_panel(
     prices: DataFrame,
     train_end: str = fv.MARKET_TRAIN_END,
@@ -107,9 +129,8 @@ def market_panel(
     ``usable_for_model`` tells such rows apart.
     """
     features = return_features(prices, include_current, chunks, order)
-    threshold = tail_threshold(features, train_end, quantile, bounded=chunks is None)
-    joined = features.join(threshold, "series_id", "left")
-    return joined.withColumns(
+    limited = _with_threshold(features, train_end, quantile, "ret_t_plus_1", True, bounded=chunks is None)
+    return limited.withColumns(
         {
             "day": dates.day_key(F.col("date")),
             "target_tail_t_plus_1": numeric.below(F.col("ret_t_plus_1"), F.col("tail_threshold_train")),
@@ -136,12 +157,8 @@ def model_features(
     made |= {f"ret_mean_{k}d": s.rolling_mean(ret, k, True) for k in fv.MEAN_WINDOWS}
     made["_next"] = s.lead(ret)
     features = prices.withColumn("log_return", ratio).withColumns(made)
-    threshold = tail_threshold(features, split, quantile, "log_return", end_included=False)
-    return (
-        features.join(threshold, "series_id", "left")
-        .withColumn("target_tail", numeric.below(F.col("_next"), F.col("tail_threshold_train")))
-        .drop("_next")
-    )
+    limited = _with_threshold(features, split, quantile, "log_return", False, bounded=True)
+    return limited.withColumn("target_tail", numeric.below(F.col("_next"), F.col("tail_threshold_train"))).drop("_next")
 
 
 def panel_profile(panel: DataFrame) -> DataFrame:
