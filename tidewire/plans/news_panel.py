@@ -31,7 +31,7 @@ def scan_articles(articles: DataFrame, start: str, end: str, excluded: str = fv.
             lowered.alias("themes"),
             numeric.number(F.get(F.split("V2Tone", ","), F.lit(0))).alias("tone_score"),
         )
-        .filter(~F.col("themes").rlike(excluded))
+        .filter(~themes.matches_any(F.col("themes"), [excluded]))
     )
 
 

@@ -12,11 +12,11 @@ from tidewire import fixed_values as fv
 from tidewire.functions import text, urls
 from tidewire.operators.dedup import keep_first
 
-GKG_ARTICLES = T.StructType.fromDDL(
+GKG_ARTICLES = (
     "DATE bigint, DocumentIdentifier string, SourceCommonName string, V2Themes string, V2Tone string, ingest_date date"
 )
-PRICE_RAW = T.StructType.fromDDL("observation_date string, DCOILWTICO string")
-URL_SAMPLE = T.StructType.fromDDL(
+PRICE_RAW = "observation_date string, DCOILWTICO string"
+URL_SAMPLE = (
     "year int, news_date string, event_timestamp string, url string, source string, tone_score double, "
     + ", ".join(f"{c} int" for c in fv.TOPIC_FLAGS)
     + ", n_active_buckets int, priority_score double"
@@ -39,13 +39,13 @@ def select_present(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*present(df, columns))
 
 
-def read_parquet(spark: SparkSession, *paths: str, schema: T.StructType | None = None, merge: bool = False) -> DataFrame:
+def read_parquet(spark: SparkSession, *paths: str, schema: str | T.StructType | None = None, merge: bool = False) -> DataFrame:
     """One or many Parquet folders as one table."""
     reader = spark.read.schema(schema) if schema else spark.read
     return reader.option("mergeSchema", merge).parquet(*paths)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     """CSV with header; quoted fields may hold quotes and line ends."""
     return (
         spark.read.schema(schema)
