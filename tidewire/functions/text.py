@@ -33,6 +33,11 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, f"^{WHITESPACE}+|(?<!{WHITESPACE}){WHITESPACE}+$", "")
 
 
+def has_visible(text: Column) -> Column:
+    """True where a character other than whitespace exists."""
+    return text.rlike(f"[^{WHITESPACE[1:]}")
+
+
 def clean_extracted(text: Column) -> Column:
     """Collapse whitespace; text with nothing left is null."""
     return F.nullif(collapse_whitespace(text), F.lit(""))

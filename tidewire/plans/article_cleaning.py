@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewire import fixed_values as fv
 from tidewire.functions import text, urls
-from tidewire.operators.dedup import distinct_counts, keep_first
+from tidewire.operators.dedup import distinct_counts, first_ids
 from tidewire.sources.tables import require_columns, select_present
 
 
@@ -46,17 +46,20 @@ def clean_pass1(
 ) -> DataFrame:
     """Clean, drop short texts, keep first per URL and per text, measure, flag English.
 
+    Winners are found on ids and digests; only their rows are cleaned and measured.
     ``languages`` maps the surviving rows to ``id_col, lang``; without it the table
     must have a ``lang`` column. Tone is carried through when present.
     """
-    cleaned = usable_extracts(df).withColumn("text_clean", text.clean_article(F.col("text")))
-    cleaned = cleaned.filter(F.length("text_clean") >= min_chars)
+    usable = usable_extracts(df)
+    cleaned = usable.withColumn("text_clean", text.clean_article(F.col("text")))
     steps: list[Mapping[str, Column]] = []
     url_key = next((c for c in ("url_norm", "url") if c in df.columns), None)
     if url_key:
         steps.append({"url": F.col(url_key)})
     steps.append({"text": text.text_digest(F.col("text_clean"))})
-    rows = with_quality(keep_first(cleaned, id_col, steps))
+    winners = first_ids(cleaned, id_col, steps, F.length("text_clean") >= min_chars)
+    survivors = usable.join(winners, id_col, "left_semi")
+    rows = with_quality(survivors.withColumn("text_clean", text.clean_article(F.col("text"))))
     if languages is not None:
         rows = rows.drop("lang").join(languages(rows), id_col, "left")
         rows = rows.withColumn("lang", F.coalesce(F.col("lang"), F.lit("unknown")))
@@ -89,8 +92,9 @@ def repaired(df: DataFrame) -> DataFrame:
 
 def clean_pass2(df: DataFrame, id_col: str, **limits) -> DataFrame:
     """Repair wrong decodings, drop rows that break a rule, keep first per text."""
-    kept = repaired(df).filter(pass2_rule(**limits) == "kept")
-    return keep_first(kept, id_col, [{"text": text.text_digest(F.col("text_clean"))}])
+    key = {"text": text.text_digest(F.col("text_clean"))}
+    winners = first_ids(repaired(df), id_col, [key], pass2_rule(**limits) == "kept")
+    return repaired(df.join(winners, id_col, "left_semi"))
 
 
 def removed_by_rule(df: DataFrame, **limits) -> DataFrame:

@@ -14,6 +14,8 @@ def extract_text(pages: DataFrame, html_col: str = "html", min_chars: int = fv.M
 
     The second reading runs only where the first is too short, and wins only when
     it is long enough. A text that is too short is no success: null, length 0.
+    Write the result before filtering on it: a filter pushed below would run the
+    extraction again.
     """
     source = F.col(html_col)
     read = pages.withColumn("_primary", html.primary_text(source))

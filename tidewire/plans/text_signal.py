@@ -23,8 +23,8 @@ def prepare_labels(df: DataFrame, label_col: str = "suggested_label") -> DataFra
 
 
 def drop_blank(df: DataFrame, text_col: str = "text_clean") -> DataFrame:
-    stripped = df.withColumn(text_col, text.strip(F.col(text_col)))
-    return stripped.filter(F.length(text_col) > 0)
+    """Strip texts and drop the ones without any visible character."""
+    return df.filter(text.has_visible(F.col(text_col))).withColumn(text_col, text.strip(F.col(text_col)))
 
 
 def with_predictions(df: DataFrame, prob: str = "pred_prob_climate") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
 
@@ -53,3 +53,14 @@ def stage_path(spark: SparkSession, label: str) -> str:
 def row_slices(spark: SparkSession) -> int:
     """How many slices a total order is cut into: the session's shuffle width."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """Write a table once to the shared folder and read it back.
+
+    For results that are costly and read more than once. The files outlive lost
+    executors, and later filters and column choices reach the Parquet scan.
+    """
+    path = stage_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,6 +8,7 @@ from tidewire.functions import text, urls
 from tidewire.operators.dedup import first_ids
 from tidewire.plans import article_cleaning as cleaning
 from tidewire.plans import extraction, language
+from tidewire.session import staged
 from tidewire.suite import inputs
 from tidewire.suite.inputs import SQL_SPACE, sql_clean_article, sql_collapse, sql_strip
 from tidewire.suite.registry import query, r6, rounded, table
@@ -259,7 +260,10 @@ def _sql_extract() -> str:
     inline = "a|abbr|b|cite|code|em|font|i|mark|q|s|small|span|strong|sub|sup|u"
     article = r"regexp_extract(page, '(?is)<article\b[^>]*>(.*)</article\s*>', 1)"
     stripped = rf"regexp_replace(regexp_replace(article, '(?i)</?(?:{inline})(?:\s[^>]*)?>', '', 'g'), '</?[A-Za-z!][^>]*>', ' ', 'g')"
-    decoded = f"replace(replace(replace(replace({stripped}, '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&amp;', '&')"
+    decoded = stripped
+    names = {"copy": "©", "middot": "·", "nbsp": " ", "quot": '"', "lt": "<", "gt": ">", "apos": "''", "#39": "''", "amp": "&"}
+    for name, char in names.items():
+        decoded = f"replace({decoded}, '&{name};', '{char}')"
     return f"""
     with stripped as (select page_id, {page} as page from pages),
     bodies as (select page_id, {article} as article from stripped),
@@ -286,13 +290,14 @@ def extract_text(spark, sf_dir):
 def article_pipeline(spark, sf_dir):
     """Pages through extraction and both cleaning passes; language from profiles."""
     profiles = language.fit_profiles(table(spark, sf_dir, "documents"), "text", "lang", ["en", "fr", "de", "es"])
-    pages = extraction.extract_text(table(spark, sf_dir, "pages")).withColumns(
+    pages = table(spark, sf_dir, "pages").withColumns(
         {"url_norm": urls.normalize_url(F.col("url")), "domain": urls.domain_of(F.col("url"))}
     )
+    extracted = staged(extraction.extract_text(pages), "extracted")
     first = cleaning.clean_pass1(
-        pages, "page_id", lambda rows: language.detect_language(rows, "page_id", "text_clean", profiles)
+        extracted, "page_id", lambda rows: language.detect_language(rows, "page_id", "text_clean", profiles)
     )
-    second = cleaning.clean_pass2(first.filter("is_english"), "page_id")
+    second = cleaning.clean_pass2(staged(first, "cleaned").filter("is_english"), "page_id")
     return rounded(second.withColumn("text_clean", F.md5("text_clean")))
 
 
