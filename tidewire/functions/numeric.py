@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -69,12 +69,23 @@ def sigmoid(value: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-value))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Compute ``value`` once and use it in ``body``.
+
+    A lambda computes outer expressions again for every element; its own argument
+    is computed once.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def softmax(scores: Column) -> Column:
     """Shares of exp(score), shifted by the largest score against overflow."""
-    top = F.array_max(scores)
-    powers = F.transform(scores, lambda x: F.exp(x - top))
-    total = F.aggregate(powers, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(powers, lambda x: x / total)
+
+    def shares(powers: Column) -> Column:
+        total = F.aggregate(powers, F.lit(0.0), lambda acc, x: acc + x)
+        return _let(total, lambda t: F.transform(powers, lambda x: x / t))
+
+    return _let(F.array_max(scores), lambda top: _let(F.transform(scores, lambda x: F.exp(x - top)), shares))
 
 
 def argmax(scores: Column) -> Column:
