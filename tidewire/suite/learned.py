@@ -1 +1,191 @@
-"""..."""
+"""Fitted models: term weights, text classifier, model grid, lasso path, row windows."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidewire import fixed_values as fv
+from tidewire.operators import summaries
+from tidewire.operators.ordering import ranking_metrics
+from tidewire.operators.split import stratified_split
+from tidewire.plans import tail_models as models
+from tidewire.plans import text_classifier as classifier
+from tidewire.plans import text_signal as signal
+from tidewire.suite import inputs
+from tidewire.suite.modelling import model_rows
+from tidewire.suite.registry import query, r6, rounded, table
+from tidewire.suite.signals import labelled
+
+_STOP = ["the", "of", "and", "to", "in", "is", "that", "for", "la", "le", "de", "der", "die", "und"]
+
+
+@query(rf"""
+with words as (
+  select doc_id, list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}\p{{N}}_]{{2,}}'),
+    lambda w: not list_contains([{', '.join(f"'{w}'" for w in _STOP)}], w)) as kept
+  from documents
+),
+terms as (
+  select doc_id, unnest(kept) as term from words
+  union all
+  select doc_id, unnest(list_transform(range(1, len(kept)), lambda i: kept[i] || ' ' || kept[i + 1])) from words
+),
+per_text as (select doc_id, term, count(*) as n from terms group by all),
+vocabulary as (
+  select term, sum(n) as tf, count(*) as df from per_text group by term order by tf desc, term limit 10000
+),
+idf as (select term, df, ln((1 + (select count(*) from documents)) / (1 + df)) + 1 as idf from vocabulary),
+raw as (select doc_id, term, n * idf as w from per_text join idf using (term)),
+scaled as (select doc_id, term, w / sqrt(sum(w * w) over (partition by doc_id)) as weight from raw)
+select term, count(*) as n_texts, {r6('sum(weight)', 'total')}, {r6('max(weight)', 'top')} from scaled group by term
+""")
+def tfidf_weights(spark, sf_dir):
+    """Term weights of all documents, added up per term."""
+    weights = classifier.term_weights(table(spark, sf_dir, "documents"), "doc_id", "text", stop_words=_STOP)
+    return rounded(
+        weights.groupBy("term").agg(
+            F.count("*").alias("n_texts"), F.sum("weight").alias("total"), F.max("weight").alias("top")
+        )
+    )
+
+
+def _fitted(spark, sf_dir):
+    rows = signal.prepare_labels(labelled(spark, sf_dir))
+    marked = stratified_split(rows, "doc_id", "label", 0.2)
+    return marked, classifier.fit_text_classifier(marked.filter(~F.col("is_test")))
+
+
+@query()
+def text_scores(spark, sf_dir):
+    """Every document scored by the classifier fitted on the labelled ones."""
+    _, model = _fitted(spark, sf_dir)
+    documents = signal.drop_blank(inputs.article_text(spark, sf_dir).withColumnRenamed("text", "text_clean"))
+    scored = signal.with_predictions(classifier.score_with_pipeline(documents, model))
+    return rounded(
+        scored.select("doc_id", "news_date", "pred_prob_climate", "pred_label", "pred_label_name", "high_conf")
+    )
+
+
+@query()
+def text_model_report(spark, sf_dir):
+    """Precision, recall, F1, accuracy and ranking metrics on the held-out texts."""
+    marked, model = _fitted(spark, sf_dir)
+    test = marked.filter("is_test").select("doc_id", "text_clean", "label")
+    scored = signal.with_predictions(classifier.score_with_pipeline(test, model))
+    report = summaries.classification_report(scored, "label", "pred_label")
+    ranking = ranking_metrics(scored, "label", "pred_prob_climate").select(F.struct("roc_auc", "average_precision").alias("r"))
+    return rounded(report.withColumn("_r", ranking.scalar()).select("*", "_r.*").drop("_r"))
+
+
+@query()
+def text_signal_from_model(spark, sf_dir):
+    """Daily signal of the scored documents."""
+    _, model = _fitted(spark, sf_dir)
+    documents = signal.drop_blank(inputs.article_text(spark, sf_dir).withColumnRenamed("text", "text_clean"))
+    scored = signal.with_predictions(classifier.score_with_pipeline(documents, model))
+    return rounded(signal.daily_signal_a(scored))
+
+
+@query()
+def top_terms(spark, sf_dir):
+    _, model = _fitted(spark, sf_dir)
+    return rounded(classifier.top_terms(model))
+
+
+def _word_rate_scorer():
+    """A stand-in for a pretrained model: class scores from word shares."""
+    import numpy as np
+
+    def predict(texts):
+        scores = np.zeros((len(texts), 2), dtype=np.float32)
+        for i, value in enumerate(texts):
+            words = (value or "").lower().split()
+            scores[i, 1] = 10.0 * sum(w in ("the", "that", "with") for w in words) / max(len(words), 1) - 1.0
+        return scores
+
+    return predict
+
+
+@query(rf"""
+with words as (
+  select doc_id, list_filter(regexp_split_to_array(lower(text), '{inputs.SQL_SPACE}+'), lambda w: w <> '') as w from documents
+),
+scores as (
+  select doc_id, 10.0::double * len(list_filter(w, lambda x: x in ('the', 'that', 'with'))) / greatest(len(w), 1) - 1 as s from words
+)
+select doc_id, round(1 / (1 + exp(-s)), 4) + 0.0::double as prob from scores
+""")
+def batch_scores(spark, sf_dir):
+    """Whole texts scored in Arrow batches by a user's function."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = classifier.score_with_function(documents, _word_rate_scorer, "text", "prob")
+    return rounded(scored.select("doc_id", "prob"), 4)
+
+
+_ALL = [*fv.MARKET_FEATURES, *fv.NEWS_WITHIN_FEATURES, *fv.NEWS_GLOBAL_FEATURES]
+_LABEL = "target_tail"
+
+
+def _split(spark, sf_dir, features):
+    rows = model_rows(spark, sf_dir)
+    return models.scaled_split(rows, features, first_test=inputs.SPLIT, last_test=inputs.TEST_END)
+
+
+@query()
+def model_grid(spark, sf_dir):
+    """Six feature sets: exact AUC and average precision, difference to the first."""
+    split = _split(spark, sf_dir, _ALL)
+    fitted = models.fit_grid(split)
+    return rounded(models.compare(split.test, fitted))
+
+
+@query()
+def model_regimes(spark, sf_dir):
+    """The model with all features, measured per year."""
+    split = _split(spark, sf_dir, _ALL)
+    fitted = [models.fit_linear(split, 0, "all", _ALL)]
+    scored = models.score_models(split.test, fitted, "date", _LABEL)
+    regimes = {"1999": F.year("date") == 1999, "2000 on": F.year("date") >= 2000}
+    return rounded(models.regime_metrics(scored, _LABEL, "prob", regimes))
+
+
+@query()
+def model_coefficients(spark, sf_dir):
+    """Coefficients by absolute size, without the ones near 0."""
+    split = _split(spark, sf_dir, _ALL)
+    return rounded(models.coefficients(models.fit_grid(split), spark, fv.MIN_COEFFICIENT))
+
+
+@query()
+def lasso_path(spark, sf_dir):
+    """Cross-validated L1 strengths, with the metrics of the refitted best one."""
+    split = _split(spark, sf_dir, _ALL)
+    lasso = models.fit_lasso_path(split, _ALL)
+    path = spark.createDataFrame(lasso.path, "strength double, mean_auc double")
+    kept = sum(abs(c) > fv.MIN_COEFFICIENT for c in lasso.model.coefficients)
+    final = models.compare(split.test, [lasso.model]).select(F.struct("roc_auc", "average_precision").alias("r"))
+    return rounded(
+        path.withColumns({"is_best": F.col("strength") == lasso.best_strength, "n_features": F.lit(kept)})
+        .withColumn("_r", final.scalar())
+        .select("*", F.col("_r.roc_auc").alias("test_auc"), F.col("_r.average_precision").alias("test_ap"))
+        .drop("_r")
+    )
+
+
+@query()
+def sequence_classifier(spark, sf_dir):
+    """Boosted trees over windows of rows, several seeds, summarised per variant."""
+    rows = model_rows(spark, sf_dir).persist()
+    variants = {
+        "market, W=10": (fv.MARKET_FEATURES, 10),
+        "market, W=22": (fv.MARKET_FEATURES, 22),
+        "market+global, W=10": (fv.MARKET_FEATURES + fv.NEWS_GLOBAL_FEATURES, 10),
+    }
+    runs = None
+    for name, (features, window) in variants.items():
+        samples = models.sequence_samples(rows, features, window, first_test=inputs.SPLIT)
+        scored = models.fit_sequence_models(
+            samples, first_test=inputs.SPLIT, last_test=inputs.TEST_END, seeds=(0, 1), max_iter=10
+        ).withColumn("model", F.lit(name))
+        runs = scored if runs is None else runs.unionByName(scored)
+    return rounded(models.run_summary(ranking_metrics(runs, _LABEL, "prob", ["model", "seed"])))
