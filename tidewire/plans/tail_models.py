@@ -1,22 +1,18 @@
 """Linear and sequence models of the tail event, and their comparison.
 
-The modelling table holds one row per day and series; fits are distributed Spark
-ML jobs and only coefficients come to the driver. All models of a grid are scored
-in one pass over the test rows, as column expressions.
+The modelling table holds one row per day and series. Linear models are fitted
+together by distributed passes, and all models of a grid are scored in one pass
+over the test rows, as column expressions.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewire import fixed_values as fv
@@ -25,6 +21,7 @@ from tidewire.operators.ordering import ranking_metrics
 from tidewire.operators.scaling import standardize, with_class_weight
 from tidewire.operators.split import contiguous_folds, split_by_date
 from tidewire.operators.windows import SeriesOrder, row_sequences
+from tidewire.plans.linear_fits import FitSpec, compact, fit_together
 
 
 @dataclass(frozen=True)
@@ -33,13 +30,12 @@ class LinearModel:
 
     number: int
     name: str
-    features: tuple[str, ...]
-    coefficients: tuple[float, ...]
     intercept: float
+    coefficients: Mapping[str, float]
 
     def probability(self) -> Column:
         margin = F.lit(self.intercept)
-        for feature, coefficient in zip(self.features, self.coefficients):
+        for feature, coefficient in self.coefficients.items():
             if coefficient:
                 margin = margin + F.col(feature) * F.lit(coefficient)
         return numeric.sigmoid(margin)
@@ -47,11 +43,17 @@ class LinearModel:
 
 @dataclass(frozen=True)
 class ScaledSplit:
-    """Train and test rows scaled by training statistics; train rows carry weights."""
+    """Train and test rows scaled by training statistics."""
 
+    features: tuple[str, ...]
+    label: str
     train: DataFrame
     test: DataFrame
-    n_train: int
+    class_sizes: Mapping[int, int]
+
+    @property
+    def n_train(self) -> int:
+        return sum(self.class_sizes.values())
 
 
 def scaled_split(
@@ -61,39 +63,31 @@ def scaled_split(
     first_test: str = fv.MODEL_SPLIT,
     last_test: str = fv.MODEL_TEST_END,
 ) -> ScaledSplit:
-    """Split by date, drop rows with a missing feature, scale, weight the classes."""
+    """Split by date, drop rows with a missing feature, scale by the training rows.
+
+    ``table`` should be written or cached: statistics and rows are read apart.
+    """
     whole = table.na.drop(subset=list(features))
     train, test = split_by_date(whole, "date", first_test, last_test)
-    scaled_train = with_class_weight(standardize(train, train, features), label).persist()
-    return ScaledSplit(scaled_train, standardize(test, train, features), scaled_train.count())
+    sizes = {int(r[label]): r["n"] for r in train.groupBy(label).agg(F.count("*").alias("n")).collect()}
+    scaled = compact(standardize(train, train, features), sum(sizes.values())).persist()
+    return ScaledSplit(tuple(features), label, scaled, standardize(test, train, features), sizes)
 
 
-def _assembled(train: DataFrame, features: Sequence[str], label: str, *keep: str) -> DataFrame:
-    assembler = VectorAssembler(inputCols=list(features), outputCol="features")
-    rows = train.select(*features, F.col(label).cast("double").alias("label"), "weight", *keep)
-    return assembler.transform(rows).select("features", "label", "weight", *keep)
-
-
-def fit_linear(split: ScaledSplit, number: int, name: str, features: Sequence[str], label: str = "target_tail", strength: float = 1.0) -> LinearModel:
-    """Class-balanced L2 logistic regression; weights add up to n, so the penalty is 1 / (C n)."""
-    estimator = LogisticRegression(
-        weightCol="weight", regParam=1.0 / (strength * split.n_train), standardization=False, maxIter=1000
-    )
-    model = estimator.fit(_assembled(split.train, features, label))
-    coefficients = tuple(float(c) for c in model.coefficients.toArray())
-    return LinearModel(number, name, tuple(features), coefficients, float(model.intercept))
+def balanced(sizes: Mapping[int, int]) -> tuple[float, float]:
+    """Class weights n / (2 n_class); a class that is absent weighs 0."""
+    n = sum(sizes.values())
+    return tuple(n / (2 * sizes[k]) if sizes.get(k) else 0.0 for k in (0, 1))
 
 
 def fit_grid(
-    split: ScaledSplit, configs: Mapping[str, Sequence[str]] = fv.MODEL_CONFIGS, label: str = "target_tail", parallelism: int = 4
+    split: ScaledSplit, configs: Mapping[str, Sequence[str]] = fv.MODEL_CONFIGS, strength: float = 1.0
 ) -> list[LinearModel]:
-    """One model per named feature set; independent fits share the cluster."""
-    with ThreadPoolExecutor(parallelism) as pool:
-        jobs = [
-            pool.submit(fit_linear, split, i, name, features, label)
-            for i, (name, features) in enumerate(configs.items())
-        ]
-        return [job.result() for job in jobs]
+    """Class-balanced L2 models, one per named feature set, in shared passes."""
+    weights = balanced(split.class_sizes)
+    specs = [FitSpec(tuple(features), weights, l2=1.0 / strength) for features in configs.values()]
+    fits = fit_together(split.train, split.features, split.label, specs)
+    return [LinearModel(i, name, *fit) for i, (name, fit) in enumerate(zip(configs, fits))]
 
 
 def score_models(test: DataFrame, models: Sequence[LinearModel], *keep: str) -> DataFrame:
@@ -131,12 +125,12 @@ def regime_metrics(scored: DataFrame, label: str, score: str, regimes: Mapping[s
     return ranking_metrics(sliced, label, score, ["regime", *by]).filter("n_pos > 0")
 
 
-def coefficients(models: Sequence[LinearModel], spark, minimum: float = 0.0) -> DataFrame:
+def coefficients(models: Sequence[LinearModel], spark: SparkSession, minimum: float = 0.0) -> DataFrame:
     """``config, feature, coef`` by absolute size, small ones left out."""
     rows = [
-        (m.number, m.name, f, c)
+        (m.number, m.name, feature, c)
         for m in models
-        for f, c in zip(m.features, m.coefficients)
+        for feature, c in m.coefficients.items()
         if abs(c) > minimum
     ]
     table = spark.createDataFrame(rows, "config_no int, config string, feature string, coef double")
@@ -145,9 +139,9 @@ def coefficients(models: Sequence[LinearModel], spark, minimum: float = 0.0) ->
 
 @dataclass(frozen=True)
 class LassoPath:
-    """Mean validation AUC per strength, and the model refitted at the best one."""
+    """Validation AUC per strength and fold, and the model refitted at the best strength."""
 
-    path: list[tuple[float, float]]
+    folds: DataFrame
     best_strength: float
     model: LinearModel
 
@@ -157,43 +151,50 @@ def lasso_strengths(n: int = fv.LASSO_STRENGTHS) -> list[float]:
     return [10 ** (-4 + 8 * i / (n - 1)) for i in range(n)]
 
 
+def _validation_scores(rows: DataFrame, split: ScaledSplit, fits: Sequence[tuple[int, float, tuple]]) -> DataFrame:
+    """Every row scored by the models that left its fold out: ``strength, fold, label, prob``.
+
+    The table of models has one row per fold and strength.
+    """
+    spark = rows.sparkSession
+    models = spark.createDataFrame(
+        [(fold, c, intercept, [coefs[f] for f in split.features]) for fold, c, (intercept, coefs) in fits],
+        "fold int, strength double, intercept double, weights array<double>",
+    )
+    values = rows.select("fold", split.label, F.array(*[F.col(f).cast("double") for f in split.features]).alias("x"))
+    products = F.zip_with("x", "weights", lambda a, b: a * b)
+    margin = F.aggregate(products, F.col("intercept"), lambda acc, v: acc + v)
+    return values.join(F.broadcast(models), "fold").select("strength", "fold", split.label, numeric.sigmoid(margin).alias("prob"))
+
+
 def fit_lasso_path(
-    split: ScaledSplit,
-    features: Sequence[str],
-    label: str = "target_tail",
-    strengths: Sequence[float] | None = None,
-    folds: int = fv.LASSO_FOLDS,
-    parallelism: int = 4,
-    max_iter: int = 200,
+    split: ScaledSplit, strengths: Sequence[float] | None = None, folds: int = fv.LASSO_FOLDS
 ) -> LassoPath:
-    """L1 logistic regression: cross-validated strength, refit on all training rows.
+    """L1 models: strength chosen by cross-validated AUC, then refit on all training rows.
 
-    Folds are blocks in date order per class. Weights are those of the whole
-    training set, and the penalty uses the fold's size n (k - 1) / k.
+    Folds are blocks in date order per class, and each fold balances its own
+    classes. All folds and strengths share the same passes over the rows.
     """
     strengths = list(strengths or lasso_strengths())
-    folded = contiguous_folds(split.train, label, "date", folds)
-    rows = _assembled(folded, features, label, "fold").persist()
-    estimator = LogisticRegression(weightCol="weight", elasticNetParam=1.0, standardization=False, maxIter=max_iter)
-    fold_rows = split.n_train * (folds - 1) / folds
-    grid = ParamGridBuilder().addGrid(estimator.regParam, [1.0 / (c * fold_rows) for c in strengths]).build()
-    search = CrossValidator(
-        estimator=estimator,
-        estimatorParamMaps=grid,
-        evaluator=BinaryClassificationEvaluator(numBins=0),
-        numFolds=folds,
-        foldCol="fold",
-        parallelism=parallelism,
-    )
+    rows = compact(contiguous_folds(split.train, split.label, "date", folds), split.n_train).persist()
     try:
-        metrics = [float(m) for m in search.fit(rows).avgMetrics]
-        best = max(range(len(strengths)), key=lambda i: (metrics[i], -i))
-        final = estimator.copy({estimator.regParam: 1.0 / (strengths[best] * split.n_train)}).fit(rows)
+        held = {(r["fold"], r[split.label]): r["n"] for r in rows.groupBy("fold", split.label).agg(F.count("*").alias("n")).collect()}
+        keys, specs = [], []
+        for fold in range(folds):
+            sizes = {k: n - held.get((fold, k), 0) for k, n in split.class_sizes.items()}
+            for c in strengths:
+                keys.append((fold, c))
+                specs.append(FitSpec(split.features, balanced(sizes), l1=1.0 / c, left_out=fold))
+        fits = fit_together(rows, split.features, split.label, specs, "fold")
+        scored = _validation_scores(rows, split, [(*key, fit) for key, fit in zip(keys, fits)])
+        per_fold = ranking_metrics(scored, split.label, "prob", ["strength", "fold"])
+        means = {r["strength"]: r["auc"] for r in per_fold.groupBy("strength").agg(F.avg("roc_auc").alias("auc")).collect()}
+        best = max(strengths, key=lambda c: (means.get(c) or 0.0, -c))
+        spec = FitSpec(split.features, balanced(split.class_sizes), l1=1.0 / best)
+        final = fit_together(rows, split.features, split.label, [spec])[0]
     finally:
         rows.unpersist()
-    values = tuple(float(c) for c in final.coefficients.toArray())
-    model = LinearModel(0, "Lasso (all features)", tuple(features), values, float(final.intercept))
-    return LassoPath(list(zip(strengths, metrics)), strengths[best], model)
+    return LassoPath(per_fold, best, LinearModel(0, "Lasso (all features)", *final))
 
 
 def sequence_samples(
@@ -232,7 +233,8 @@ def fit_sequence_models(
     train, test = split_by_date(samples, "date", first_test, last_test)
     place = F.percent_rank().over(Window.partitionBy("series_id").orderBy("date"))
     marked = train.withColumn("_validation", place > 1 - validation_share)
-    rows = with_class_weight(marked, label).withColumn("label", F.col(label).cast("double")).persist()
+    weighted = with_class_weight(marked, label).withColumn("label", F.col(label).cast("double"))
+    rows = compact(weighted, train.count()).persist()
     scored = []
     try:
         for seed in seeds:

@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from tidewire import fixed_values as fv
 from tidewire.functions import numeric
+from tidewire.plans.linear_fits import compact
 
 HELPERS = ("_words", "_kept", "_pairs", "_terms", "_counts", "_weighted", "_features")
 
@@ -119,9 +120,10 @@ def fit_text_classifier(
 ) -> PipelineModel:
     """Term weights and an L2 logistic regression; the penalty is 1 / (C n)."""
     features = fit_text_features(train, text_col, max_terms, stop_words)
-    ready = features.transform(train).select("_features", F.col(label_col).cast("double").alias(label_col)).persist()
+    n = train.count()
+    ready = features.transform(train).select("_features", F.col(label_col).cast("double").alias(label_col))
+    ready = compact(ready, n).persist()
     try:
-        n = ready.count()
         classifier = LogisticRegression(
             featuresCol="_features",
             labelCol=label_col,

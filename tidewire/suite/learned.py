@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from tidewire import fixed_values as fv
@@ -11,6 +12,7 @@ from tidewire.operators.split import stratified_split
 from tidewire.plans import tail_models as models
 from tidewire.plans import text_classifier as classifier
 from tidewire.plans import text_signal as signal
+from tidewire.session import stage_path, staged
 from tidewire.suite import inputs
 from tidewire.suite.modelling import model_rows
 from tidewire.suite.registry import query, r6, rounded, table
@@ -49,10 +51,20 @@ def tfidf_weights(spark, sf_dir):
     )
 
 
+_models: dict[tuple[str, str], object] = {}
+
+
 def _fitted(spark, sf_dir):
+    """The marked labelled texts and the classifier, fitted once per session and saved."""
     rows = signal.prepare_labels(labelled(spark, sf_dir))
     marked = stratified_split(rows, "doc_id", "label", 0.2)
-    return marked, classifier.fit_text_classifier(marked.filter(~F.col("is_test")))
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _models:
+        path = stage_path(spark, "text-classifier")
+        train = staged(marked.filter(~F.col("is_test")), "labelled-train")
+        classifier.fit_text_classifier(train).write().overwrite().save(path)
+        _models[key] = PipelineModel.load(path)
+    return marked, _models[key]
 
 
 @query()
@@ -126,8 +138,13 @@ _ALL = [*fv.MARKET_FEATURES, *fv.NEWS_WITHIN_FEATURES, *fv.NEWS_GLOBAL_FEATURES]
 _LABEL = "target_tail"
 
 
+def _model_table(spark, sf_dir):
+    """The modelling table, written once: statistics, fits and scores read it apart."""
+    return staged(model_rows(spark, sf_dir), "model-table")
+
+
 def _split(spark, sf_dir, features):
-    rows = model_rows(spark, sf_dir)
+    rows = _model_table(spark, sf_dir)
     return models.scaled_split(rows, features, first_test=inputs.SPLIT, last_test=inputs.TEST_END)
 
 
@@ -135,18 +152,18 @@ def _split(spark, sf_dir, features):
 def model_grid(spark, sf_dir):
     """Six feature sets: exact AUC and average precision, difference to the first."""
     split = _split(spark, sf_dir, _ALL)
-    fitted = models.fit_grid(split)
-    return rounded(models.compare(split.test, fitted))
+    return rounded(models.compare(split.test, models.fit_grid(split)))
 
 
 @query()
 def model_regimes(spark, sf_dir):
-    """The model with all features, measured per year."""
+    """The best of the six models, measured per period."""
     split = _split(spark, sf_dir, _ALL)
-    fitted = [models.fit_linear(split, 0, "all", _ALL)]
-    scored = models.score_models(split.test, fitted, "date", _LABEL)
+    fitted = models.fit_grid(split)
+    best = models.best_model(models.compare(split.test, fitted)).first()["config_no"]
+    scored = models.score_models(split.test, [fitted[best]], "date", _LABEL)
     regimes = {"1999": F.year("date") == 1999, "2000 on": F.year("date") >= 2000}
-    return rounded(models.regime_metrics(scored, _LABEL, "prob", regimes))
+    return rounded(models.regime_metrics(scored, _LABEL, "prob", regimes, "config"))
 
 
 @query()
@@ -158,24 +175,29 @@ def model_coefficients(spark, sf_dir):
 
 @query()
 def lasso_path(spark, sf_dir):
-    """Cross-validated L1 strengths, with the metrics of the refitted best one."""
+    """Cross-validated AUC per L1 strength, the best one, and its metrics on test rows."""
     split = _split(spark, sf_dir, _ALL)
-    lasso = models.fit_lasso_path(split, _ALL)
-    path = spark.createDataFrame(lasso.path, "strength double, mean_auc double")
-    kept = sum(abs(c) > fv.MIN_COEFFICIENT for c in lasso.model.coefficients)
+    lasso = models.fit_lasso_path(split)
+    path = lasso.folds.groupBy("strength").agg(F.avg("roc_auc").alias("mean_auc"), F.count("*").alias("n_folds"))
     final = models.compare(split.test, [lasso.model]).select(F.struct("roc_auc", "average_precision").alias("r"))
+    is_best = F.col("strength") == lasso.best_strength
+    shown = path.withColumns({"is_best": is_best, "_r": F.when(is_best, final.scalar())})
     return rounded(
-        path.withColumns({"is_best": F.col("strength") == lasso.best_strength, "n_features": F.lit(kept)})
-        .withColumn("_r", final.scalar())
-        .select("*", F.col("_r.roc_auc").alias("test_auc"), F.col("_r.average_precision").alias("test_ap"))
-        .drop("_r")
+        shown.select("strength", "mean_auc", "n_folds", "is_best", F.col("_r.roc_auc").alias("test_auc"), F.col("_r.average_precision").alias("test_ap"))
     )
 
 
+@query()
+def lasso_features(spark, sf_dir):
+    """The features the best L1 model keeps."""
+    split = _split(spark, sf_dir, _ALL)
+    return rounded(models.coefficients([models.fit_lasso_path(split).model], spark, fv.MIN_COEFFICIENT))
+
+
 @query()
 def sequence_classifier(spark, sf_dir):
     """Boosted trees over windows of rows, several seeds, summarised per variant."""
-    rows = model_rows(spark, sf_dir).persist()
+    rows = _model_table(spark, sf_dir)
     variants = {
         "market, W=10": (fv.MARKET_FEATURES, 10),
         "market, W=22": (fv.MARKET_FEATURES, 22),
@@ -183,7 +205,7 @@ def sequence_classifier(spark, sf_dir):
     }
     runs = None
     for name, (features, window) in variants.items():
-        samples = models.sequence_samples(rows, features, window, first_test=inputs.SPLIT)
+        samples = staged(models.sequence_samples(rows, features, window, first_test=inputs.SPLIT), "samples")
         scored = models.fit_sequence_models(
             samples, first_test=inputs.SPLIT, last_test=inputs.TEST_END, seeds=(0, 1), max_iter=10
         ).withColumn("model", F.lit(name))
