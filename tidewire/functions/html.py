@@ -20,7 +20,7 @@ ENTITIES = {
     "gt": ">",
     "quot": '"',
     "apos": "'",
-    "nbsp": " ",
+    "nbsp": "\u00a0",
     "copy": "©",
     "reg": "®",
     "trade": "™",

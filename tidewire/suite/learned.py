@@ -83,7 +83,8 @@ def text_model_report(spark, sf_dir):
     """Precision, recall, F1, accuracy and ranking metrics on the held-out texts."""
     marked, model = _fitted(spark, sf_dir)
     test = marked.filter("is_test").select("doc_id", "text_clean", "label")
-    scored = signal.with_predictions(classifier.score_with_pipeline(test, model))
+    scored = classifier.score_with_pipeline(test, model).drop("text_clean")
+    scored = signal.with_predictions(staged(scored, "held-out-scores"))
     report = summaries.classification_report(scored, "label", "pred_label")
     ranking = ranking_metrics(scored, "label", "pred_prob_climate").select(F.struct("roc_auc", "average_precision").alias("r"))
     return rounded(report.withColumn("_r", ranking.scalar()).select("*", "_r.*").drop("_r"))
