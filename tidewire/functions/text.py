@@ -14,28 +14,29 @@ from pyspark.sql import functions as F
 
 from tidewire import fixed_values as fv
 
-WHITESPACE = r"[\t-\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+# Unicode whitespace; the four separators U+001C to U+001F count as well.
+SPACE = r"[\s\x1C-\x1F]"
+SPACE_CHARACTERS = (
+    "\t\n\u000b\f\r\u001c\u001d\u001e\u001f \u0085\u00a0\u1680\u2028\u2029\u202f\u205f\u3000"
+    + "".join(chr(c) for c in range(0x2000, 0x200B))
+)
 LETTERS = r"\p{L}"
-LATIN_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+OTHER_LETTERS = r"[\xAA\xB5\xBA\u0100-\x{10FFFF}]&&\p{L}"
 
 
 def collapse_whitespace(text: Column) -> Column:
     """Runs of any Unicode whitespace become one blank; none at the ends."""
-    return F.trim(F.regexp_replace(text, WHITESPACE + "+", " "))
+    return F.trim(F.regexp_replace(text, f"(?U){SPACE}+", " "))
 
 
 def strip(text: Column) -> Column:
-    """Remove Unicode whitespace at both ends.
-
-    The look-behind lets the trailing pattern start only at the head of a run,
-    which keeps long inner runs linear.
-    """
-    return F.regexp_replace(text, f"^{WHITESPACE}+|(?<!{WHITESPACE}){WHITESPACE}+$", "")
+    """Remove Unicode whitespace at both ends; looks at the ends only."""
+    return F.btrim(text, F.lit(SPACE_CHARACTERS))
 
 
 def has_visible(text: Column) -> Column:
     """True where a character other than whitespace exists."""
-    return text.rlike(f"[^{WHITESPACE[1:]}")
+    return text.rlike(r"(?U)[^\s\x1C-\x1F]")
 
 
 def clean_extracted(text: Column) -> Column:
@@ -63,24 +64,28 @@ def _share_of(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part, whole), F.when(whole.isNotNull(), F.lit(0.0)))
 
 
-def _kept(text: Column, char_class: str) -> Column:
-    return F.length(F.regexp_replace(text, f"[^{char_class}]+", ""))
+def _letters(text: Column) -> Column:
+    return F.length(F.regexp_replace(text, f"[^{LETTERS}]+", ""))
 
 
 def alpha_ratio(text: Column) -> Column:
     """Letters per character; 0 for empty text."""
-    return _share_of(_kept(text, LETTERS), F.length(text))
+    return _share_of(_letters(text), F.length(text))
 
 
 def latin_ratio(text: Column) -> Column:
-    """Latin letters per letter; 0 without letters."""
-    return _share_of(_kept(text, LATIN_LETTERS), _kept(text, LETTERS))
+    """Letters A-Z, a-z and À-ÿ per letter; 0 without letters.
+
+    The letters outside that range are counted, as most texts have none.
+    """
+    others = F.length(text) - F.length(F.regexp_replace(text, f"[{OTHER_LETTERS}]+", ""))
+    return _share_of(_letters(text) - others, _letters(text))
 
 
 def noise_ratio(text: Column) -> Column:
     """Share of characters that usually come from a broken byte-order mark."""
-    clean = F.length(F.translate(text, fv.NOISE_CHARS, ""))
-    return _share_of(F.length(text) - clean, F.length(text))
+    clean = _replace_all(text, [(c, "") for c in fv.NOISE_CHARS])
+    return _share_of(F.length(text) - F.length(clean), F.length(text))
 
 
 def quality_flag(alpha: Column, noise: Column) -> Column:

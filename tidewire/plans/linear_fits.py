@@ -75,7 +75,7 @@ def _all_sums(rows: DataFrame, columns, weights, left_out, coefficients) -> tupl
         partial.select("model", F.posexplode("sums").alias("place", "value"))
         .groupBy("model", "place")
         .agg(F.sum("value").alias("value"))
-        .toPandas()
+        .toArrow()
     )
     flat = np.zeros((n_models, 1 + width + width * width))
     flat[totals["model"].to_numpy(), totals["place"].to_numpy()] = totals["value"].to_numpy()
@@ -83,10 +83,7 @@ def _all_sums(rows: DataFrame, columns, weights, left_out, coefficients) -> tupl
 
 
 def _best_steps(coefficients, gradient, curvature, l2, l1, used) -> np.ndarray:
-    """The minimum of each model's quadratic approximation, less the current point.
-
-    Coordinates are updated in turn for all models at once; unused ones stay 0.
-    """
+    """The minimum of each model's quadratic approximation, less the current point."""
     penalised = np.where(np.arange(coefficients.shape[1]) > 0, 1.0, 0.0)
     gradient = gradient + l2[:, None] * penalised * coefficients
     curvature = curvature + l2[:, None, None] * np.diag(penalised)
@@ -97,21 +94,39 @@ def _best_steps(coefficients, gradient, curvature, l2, l1, used) -> np.ndarray:
         model, place = np.nonzero(off)
         square[model, place, place] = 1.0
         return -np.linalg.solve(square, np.where(used, gradient, 0.0)[:, :, None])[:, :, 0]
-    point = coefficients.copy()
-    moved = np.zeros_like(point)
-    for _ in range(1000):
-        largest = 0.0
-        for j in range(point.shape[1]):
-            bend = np.maximum(curvature[:, j, j], 1e-12)
-            target = point[:, j] - (gradient[:, j] + moved[:, j]) / bend
-            shrunk = np.sign(target) * np.maximum(np.abs(target) - l1 * penalised[j] / bend, 0.0)
-            change = np.where(used[:, j], shrunk, 0.0) - point[:, j]
-            moved += curvature[:, :, j] * change[:, None]
-            point[:, j] += change
-            largest = max(largest, float(np.abs(change).max()))
-        if largest < 1e-9:
+    return np.stack(
+        [_l1_step(*m) for m in zip(coefficients, gradient, curvature, l1[:, None] * penalised, used)]
+    )
+
+
+def _l1_step(start, gradient, curvature, penalty, used) -> np.ndarray:
+    """One model's step by an active set: solve for the nonzero coefficients with
+    their signs held, drop the first one that would change sign, and let in the zero
+    that most wants to move, until neither happens."""
+    point = start.copy()
+    support = used & ((point != 0) | (penalty == 0))
+    signs = np.sign(point) * (penalty > 0)
+    for _ in range(500):
+        step = np.where(support, 0.0, -start)
+        wanted = -(gradient + penalty * signs + curvature @ step)[support]
+        step[support] = np.linalg.lstsq(curvature[np.ix_(support, support)], wanted, rcond=None)[0]
+        target = np.where(support, start + step, 0.0)
+        crossing = support & (penalty > 0) & (np.sign(target) != signs)
+        if crossing.any():
+            reach = np.full(len(point), np.inf)
+            reach[crossing] = point[crossing] / (point - target)[crossing]
+            first = int(np.argmin(reach))
+            point = point + reach[first] * (target - point)
+            point[first], signs[first], support[first] = 0.0, 0.0, False
+            continue
+        point = target
+        slope = gradient + curvature @ (point - start)
+        excess = np.where(used & ~support, np.abs(slope) - penalty, -np.inf)
+        most = int(np.argmax(excess))
+        if excess[most] <= 1e-9 * (1 + penalty[most]):
             break
-    return point - coefficients
+        support[most], signs[most] = True, -np.sign(slope[most])
+    return point - start
 
 
 def fit_together(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewire import fixed_values as fv
 from tidewire.functions import dates, numeric
 from tidewire.operators.scaling import fill_median
+from tidewire.session import staged
 
 
 def news_features(news: DataFrame) -> DataFrame:
@@ -30,16 +31,26 @@ def join_news(market: DataFrame, news: DataFrame) -> DataFrame:
     return market.join(news, "date", "inner").na.drop(subset=["rvol_22d", "target_tail"])
 
 
-def join_text_signal(
-    table: DataFrame, signal: DataFrame, columns: Sequence[str] = fv.TEXT_SIGNAL, fit_on: str | None = None
+def join_text_signal(table: DataFrame, signal: DataFrame, columns: Sequence[str] = fv.TEXT_SIGNAL) -> DataFrame:
+    """Add the text signal; ``has_text_signal`` tells the days that have one."""
+    dated = signal.select(dates.plain_date(F.col("news_date")).alias("date"), *columns)
+    return table.join(dated, "date", "left").withColumn("has_text_signal", F.col(columns[0]).isNotNull())
+
+
+def model_table(
+    market: DataFrame,
+    news: DataFrame,
+    signal: DataFrame,
+    columns: Sequence[str] = fv.TEXT_SIGNAL,
+    fit_on: str | None = None,
 ) -> DataFrame:
-    """Add the text signal and fill its gaps with the median.
+    """Market, news and text signal per day, gaps filled with the median.
 
-    ``has_text_signal`` is taken before filling. ``fit_on`` is a filter for the rows
-    the median is computed from (such as the training period); all rows by default.
+    ``fit_on`` is a filter for the rows the median comes from (such as the training
+    period); all rows by default. The joined rows are written once, because the
+    medians and everything after them read the table again.
     """
-    dated = signal.select(dates.plain_date(F.col("news_date")).alias("date"), *columns)
-    joined = table.join(dated, "date", "left").withColumn("has_text_signal", F.col(columns[0]).isNotNull())
+    joined = staged(join_text_signal(join_news(market, news), signal, columns), "model-table")
     return fill_median(joined, columns, joined.filter(fit_on) if fit_on else None)
 
 

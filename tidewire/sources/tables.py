@@ -45,6 +45,17 @@ def read_parquet(spark: SparkSession, *paths: str, schema: str | T.StructType |
     return reader.option("mergeSchema", merge).parquet(*paths)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give costly text expressions as many tasks as there are cores.
+
+    A file of one row group is one task however large the cluster is. A table that
+    already has enough splits, as any large one, is returned as it is. The key
+    becomes the partitioning, which later joins and aggregates on it reuse.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores, key)
+
+
 def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     """CSV with header; quoted fields may hold quotes and line ends."""
     return (

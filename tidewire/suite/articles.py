@@ -11,7 +11,7 @@ from tidewire.plans import extraction, language
 from tidewire.session import staged
 from tidewire.suite import inputs
 from tidewire.suite.inputs import SQL_SPACE, sql_clean_article, sql_collapse, sql_strip
-from tidewire.suite.registry import query, r6, rounded, table
+from tidewire.suite.registry import query, r6, rounded, table, text_table
 
 _URL_PATTERN = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(//[^/?#]*)?([^?#]*)"
 
@@ -36,7 +36,7 @@ pages_norm as (
 @query(f"with {_PAGES_CTE} select page_id, url_norm, domain from pages_norm")
 def url_normalize(spark, sf_dir):
     url = F.col("url")
-    return table(spark, sf_dir, "pages").select(
+    return text_table(spark, sf_dir, "pages", "page_id").select(
         "page_id", urls.normalize_url(url).alias("url_norm"), urls.domain_of(url).alias("domain")
     )
 
@@ -50,7 +50,7 @@ from pages_norm group by domain
 def url_domain(spark, sf_dir):
     url = F.col("url")
     counted = (
-        table(spark, sf_dir, "pages")
+        text_table(spark, sf_dir, "pages", "page_id")
         .groupBy(urls.domain_of(url).alias("domain"), urls.normalize_url(url).alias("url_norm"))
         .agg(F.count("*").alias("n"), F.count_if(urls.is_navigation(url)).alias("n_navigation"))
     )
@@ -81,7 +81,7 @@ measured as (select doc_id, {_sql_quality('t')} from cleaned)
 select doc_id, cast(text_len_clean as int) as text_len_clean, {_RATIOS}, {_FLAG_SQL} from measured
 """)
 def text_quality(spark, sf_dir):
-    cleaned = table(spark, sf_dir, "documents").select("doc_id", text.clean_article(F.col("text")).alias("text_clean"))
+    cleaned = text_table(spark, sf_dir, "documents", "doc_id").select("doc_id", text.clean_article(F.col("text")).alias("text_clean"))
     return rounded(cleaning.with_quality(cleaned).drop("text_clean"))
 
 
@@ -111,7 +111,7 @@ with fixed as (select doc_id, {_sql_fixed(_GARBLED_SQL)} as t from documents)
 select doc_id, md5(t) as digest, cast(length(t) as int) as n from fixed
 """)
 def fix_encoding(spark, sf_dir):
-    fixed = table(spark, sf_dir, "documents").select(
+    fixed = text_table(spark, sf_dir, "documents", "doc_id").select(
         "doc_id", text.fix_encoding(_garbled(F.col("text"))).alias("t")
     )
     return fixed.select("doc_id", F.md5("t").alias("digest"), F.length("t").alias("n"))
@@ -128,7 +128,7 @@ from documents
 """)
 def word_counts(spark, sf_dir):
     value = F.col("text")
-    return table(spark, sf_dir, "documents").select(
+    return text_table(spark, sf_dir, "documents", "doc_id").select(
         "doc_id",
         text.count_word(value, "More").alias("n_more"),
         text.count_word(value, "The").alias("n_the"),
@@ -220,7 +220,7 @@ with {_PAGES_CTE}
 select min(page_id) as page_id, url_norm, count(*) as n_copies from pages_norm group by url_norm
 """)
 def dedup_url(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select("page_id", urls.normalize_url(F.col("url")).alias("url_norm"))
+    pages = text_table(spark, sf_dir, "pages", "page_id").select("page_id", urls.normalize_url(F.col("url")).alias("url_norm"))
     kept = pages.join(first_ids(pages, "page_id", [{"url": F.col("url_norm")}]), "page_id", "left_semi")
     copies = pages.groupBy("url_norm").agg(F.count("*").alias("n_copies"))
     return kept.join(copies, "url_norm").select("page_id", "url_norm", "n_copies")
@@ -279,7 +279,7 @@ select page_id, length(t) >= 300 as extract_success, 'primary_html' as extract_m
 from texts
 """)
 def extract_text(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages")
+    pages = text_table(spark, sf_dir, "pages", "page_id")
     extracted = extraction.extract_text(pages)
     return extracted.select(
         "page_id", "extract_success", "extract_method", "text_len", F.md5("text").alias("digest")
@@ -289,8 +289,8 @@ def extract_text(spark, sf_dir):
 @query()
 def article_pipeline(spark, sf_dir):
     """Pages through extraction and both cleaning passes; language from profiles."""
-    profiles = language.fit_profiles(table(spark, sf_dir, "documents"), "text", "lang", ["en", "fr", "de", "es"])
-    pages = table(spark, sf_dir, "pages").withColumns(
+    profiles = language.fit_profiles(text_table(spark, sf_dir, "documents", "doc_id"), "text", "lang", ["en", "fr", "de", "es"])
+    pages = text_table(spark, sf_dir, "pages", "page_id").withColumns(
         {"url_norm": urls.normalize_url(F.col("url")), "domain": urls.domain_of(F.col("url"))}
     )
     extracted = staged(extraction.extract_text(pages), "extracted")
@@ -329,7 +329,7 @@ from documents d left join scores s using (doc_id)
 
 @query(_sql_detect())
 def detect_language(spark, sf_dir):
-    documents = table(spark, sf_dir, "documents")
+    documents = text_table(spark, sf_dir, "documents", "doc_id")
     profiles = language.fit_profiles(documents, "text", "lang", _LANGS)
     return language.detect_language(documents, "doc_id", "text", profiles)
 
@@ -341,7 +341,7 @@ from documents
 """)
 def text_basics(spark, sf_dir):
     value = F.col("text")
-    return table(spark, sf_dir, "documents").select(
+    return text_table(spark, sf_dir, "documents", "doc_id").select(
         "doc_id",
         F.md5(text.strip(value)).alias("stripped"),
         F.md5(text.clean_extracted(value)).alias("collapsed"),

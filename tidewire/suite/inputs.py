@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import themes, urls
 from tidewire.plans import market_panel as market
-from tidewire.suite.registry import table
+from tidewire.suite.registry import table, text_table
 
 # --- the daily price: mean order value per day, with one negative price per year
 PRICE_SPAN = ("1995-01-01", "2001-12-31")
@@ -179,7 +179,7 @@ def article_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     lowered = F.lower("text")
     day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 30).cast("int"))
     return (
-        table(spark, sf_dir, "documents")
+        text_table(spark, sf_dir, "documents", "doc_id")
         .withColumns(
             {
                 "news_date": F.date_format(day, "yyyy-MM-dd"),

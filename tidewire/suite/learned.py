@@ -15,7 +15,7 @@ from tidewire.plans import text_signal as signal
 from tidewire.session import stage_path, staged
 from tidewire.suite import inputs
 from tidewire.suite.modelling import model_rows
-from tidewire.suite.registry import query, r6, rounded, table
+from tidewire.suite.registry import query, r6, rounded, table, text_table
 from tidewire.suite.signals import labelled
 
 _STOP = ["the", "of", "and", "to", "in", "is", "that", "for", "la", "le", "de", "der", "die", "und"]
@@ -43,7 +43,7 @@ select term, count(*) as n_texts, {r6('sum(weight)', 'total')}, {r6('max(weight)
 """)
 def tfidf_weights(spark, sf_dir):
     """Term weights of all documents, added up per term."""
-    weights = classifier.term_weights(table(spark, sf_dir, "documents"), "doc_id", "text", stop_words=_STOP)
+    weights = classifier.term_weights(text_table(spark, sf_dir, "documents", "doc_id"), "doc_id", "text", stop_words=_STOP)
     return rounded(
         weights.groupBy("term").agg(
             F.count("*").alias("n_texts"), F.sum("weight").alias("total"), F.max("weight").alias("top")
@@ -56,13 +56,12 @@ _models: dict[tuple[str, str], object] = {}
 
 def _fitted(spark, sf_dir):
     """The marked labelled texts and the classifier, fitted once per session and saved."""
-    rows = signal.prepare_labels(labelled(spark, sf_dir))
+    rows = staged(signal.prepare_labels(labelled(spark, sf_dir)), "labelled")
     marked = stratified_split(rows, "doc_id", "label", 0.2)
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _models:
         path = stage_path(spark, "text-classifier")
-        train = staged(marked.filter(~F.col("is_test")), "labelled-train")
-        classifier.fit_text_classifier(train).write().overwrite().save(path)
+        classifier.fit_text_classifier(marked.filter(~F.col("is_test"))).write().overwrite().save(path)
         _models[key] = PipelineModel.load(path)
     return marked, _models[key]
 
@@ -130,7 +129,7 @@ select doc_id, round(1 / (1 + exp(-s)), 4) + 0.0::double as prob from scores
 """)
 def batch_scores(spark, sf_dir):
     """Whole texts scored in Arrow batches by a user's function."""
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = text_table(spark, sf_dir, "documents", "doc_id").select("doc_id", "text")
     scored = classifier.score_with_function(documents, _word_rate_scorer, "text", "prob")
     return rounded(scored.select("doc_id", "prob"), 4)
 
@@ -139,13 +138,8 @@ _ALL = [*fv.MARKET_FEATURES, *fv.NEWS_WITHIN_FEATURES, *fv.NEWS_GLOBAL_FEATURES]
 _LABEL = "target_tail"
 
 
-def _model_table(spark, sf_dir):
-    """The modelling table, written once: statistics, fits and scores read it apart."""
-    return staged(model_rows(spark, sf_dir), "model-table")
-
-
 def _split(spark, sf_dir, features):
-    rows = _model_table(spark, sf_dir)
+    rows = model_rows(spark, sf_dir)
     return models.scaled_split(rows, features, first_test=inputs.SPLIT, last_test=inputs.TEST_END)
 
 
@@ -198,7 +192,7 @@ def lasso_features(spark, sf_dir):
 @query()
 def sequence_classifier(spark, sf_dir):
     """Boosted trees over windows of rows, several seeds, summarised per variant."""
-    rows = _model_table(spark, sf_dir)
+    rows = model_rows(spark, sf_dir)
     variants = {
         "market, W=10": (fv.MARKET_FEATURES, 10),
         "market, W=22": (fv.MARKET_FEATURES, 22),

@@ -55,7 +55,7 @@ def model_rows(spark, sf_dir):
     """Market features with news and the filled text signal."""
     features = market.model_features(inputs.prices(spark, sf_dir), inputs.SPLIT)
     news = tables.news_features(inputs.news_daily(spark, sf_dir))
-    return tables.join_text_signal(tables.join_news(features, news), inputs.text_signal(spark, sf_dir))
+    return tables.model_table(features, news, inputs.text_signal(spark, sf_dir))
 
 
 @query(f"""
@@ -78,10 +78,8 @@ from joined, train_medians
 def median_impute(spark, sf_dir):
     """Gaps filled by the median of the training period only."""
     features = market.model_features(inputs.prices(spark, sf_dir), inputs.SPLIT)
-    joined = tables.join_news(features, tables.news_features(inputs.news_daily(spark, sf_dir)))
-    filled = tables.join_text_signal(
-        joined, inputs.text_signal(spark, sf_dir), fit_on=f"date < date'{inputs.SPLIT}'"
-    )
+    news = tables.news_features(inputs.news_daily(spark, sf_dir))
+    filled = tables.model_table(features, news, inputs.text_signal(spark, sf_dir), fit_on=f"date < date'{inputs.SPLIT}'")
     return rounded(filled.select("date", "has_text_signal", *fv.TEXT_SIGNAL))
 
 

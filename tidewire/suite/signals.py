@@ -9,7 +9,7 @@ from tidewire.operators import summaries
 from tidewire.plans import text_signal as signal
 from tidewire.sources.tables import require_columns, select_present
 from tidewire.suite import inputs
-from tidewire.suite.registry import query, r6, rounded, table
+from tidewire.suite.registry import query, r6, rounded, table, text_table
 
 _FLAGS = fv.TOPIC_FLAGS
 
@@ -78,7 +78,7 @@ def labelled(spark, sf_dir):
     quality, toxic = F.col("quality"), F.col("toxic")
     name = F.when((quality == 1) & (toxic == 0), fv.LABEL_YES).when(quality == 0, fv.LABEL_NO).otherwise("other")
     labels = table(spark, sf_dir, "labels").select("doc_id", name.alias("suggested_label"))
-    documents = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("text_clean"))
+    documents = text_table(spark, sf_dir, "documents", "doc_id").select("doc_id", F.col("text").alias("text_clean"))
     return documents.join(labels, "doc_id")
 
 

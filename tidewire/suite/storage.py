@@ -10,7 +10,7 @@ from tidewire.sources import resume, tables
 from tidewire.streaming.incremental import run_incremental
 from tidewire.suite import inputs
 from tidewire.suite.articles import _PAGES_CTE
-from tidewire.suite.registry import query, r6, rounded, table
+from tidewire.suite.registry import query, r6, rounded, table, text_table
 
 
 @query(f"""
@@ -57,7 +57,7 @@ def year_shards(spark, sf_dir):
 @query("select doc_id, md5(text) as digest, lang, source from documents")
 def shard_union(spark, sf_dir):
     """Shards written apart and read as one table."""
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    documents = text_table(spark, sf_dir, "documents", "doc_id").select("doc_id", "text", "lang", "source")
     base = stage_path(spark, "shards")
     blocks = {"p1": ["en"], "p2": ["fr"], "p3": ["de"]}
     known = [lang for langs in blocks.values() for lang in langs]
@@ -115,7 +115,7 @@ todo as (
 
 def _todo(spark, sf_dir):
     day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 30).cast("int"))
-    return table(spark, sf_dir, "pages").select(
+    return text_table(spark, sf_dir, "pages", "page_id").select(
         "page_id", F.date_format(day, "yyyy-MM-dd").alias("news_date"), urls.normalize_url(F.col("url")).alias("url_norm")
     )
 
@@ -170,7 +170,7 @@ group by news_date, url_norm, domain
 def url_sample(spark, sf_dir):
     """The checked, normalised and de-duplicated URL list."""
     day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 30).cast("int"))
-    pages = table(spark, sf_dir, "pages").select(
+    pages = text_table(spark, sf_dir, "pages", "page_id").select(
         "page_id",
         F.lit(2024).alias("year"),
         F.date_format(day, "yyyy-MM-dd").alias("news_date"),
