@@ -80,7 +80,7 @@ EVENT_THEMES = {
 
 EVENT_ARTICLES_CTE = """
 articles as (
-  select cast(ts as date) as news_date, event_id, round(value - 50, 2) as tone_score,
+  select cast(ts as date) as news_date, event_id, round(value * 4) / 4 - 50 as tone_score,
     lower(case event_type
       when 'click' then 'ENV_CLIMATECHANGE;TAX_CARBON_TAX;WB_WINDOW'
       when 'view' then 'WB_525_RENEWABLE_ENERGY;SOIL_EMISSIONS'
@@ -110,7 +110,7 @@ flagged as (
 def gkg_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Article rows in the raw warehouse shape: integer time, delimited tone."""
     names = F.create_map(*[F.lit(x) for pair in EVENT_THEMES.items() for x in pair])
-    tone = F.round(F.col("value") - 50, 2)
+    tone = F.round(F.col("value") * 4) / 4 - 50
     return table(spark, sf_dir, "events").select(
         F.date_format("ts", "yyyyMMddHHmmss").cast("bigint").alias("DATE"),
         F.concat(F.lit("https://example.com/a/"), F.col("event_id")).alias("DocumentIdentifier"),
@@ -197,8 +197,8 @@ def article_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- scored articles: a probability derived from the text length, with ties
 SCORED_CTE = ARTICLE_CTE + f""",
 scored as (
-  select *, {sql_strip('text')} as text_clean, (n_chars % 101) / 100.0::double as prob,
-    case when (n_chars % 101) / 100.0::double >= 0.5 then 1 else 0 end as pred_label
+  select *, {sql_strip('text')} as text_clean, (n_chars % 128) / 128.0::double as prob,
+    case when (n_chars % 128) / 128.0::double >= 0.5 then 1 else 0 end as pred_label
   from article_text where length({sql_strip('text')}) > 0
 )
 """
@@ -208,7 +208,7 @@ def scored_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewire.plans.text_signal import drop_blank, with_predictions
 
     rows = article_text(spark, sf_dir).withColumnRenamed("text", "text_clean")
-    return with_predictions(drop_blank(rows.withColumn("pred_prob_climate", (F.col("n_chars") % 101) / F.lit(100.0))))
+    return with_predictions(drop_blank(rows.withColumn("pred_prob_climate", (F.col("n_chars") % 128) / F.lit(128.0))))
 
 
 # --- daily news with topic counts: one article per line item
@@ -286,10 +286,10 @@ def news_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 TEXT_SIGNAL_CTE = """
 text_signal as (
   select date '1995-01-01' + cast((doc_id * 7) % 2400 as integer) as day,
-    avg((n_chars % 101) / 100.0::double) as climate_prob_mean,
-    max((n_chars % 101) / 100.0::double) as climate_prob_max,
-    coalesce(stddev_samp((n_chars % 101) / 100.0::double), 0) as climate_prob_std,
-    avg(case when (n_chars % 101) / 100.0::double >= 0.5 then 1.0::double else 0 end) as climate_share_bert,
+    avg((n_chars % 128) / 128.0::double) as climate_prob_mean,
+    max((n_chars % 128) / 128.0::double) as climate_prob_max,
+    coalesce(stddev_samp((n_chars % 128) / 128.0::double), 0) as climate_prob_std,
+    avg(case when (n_chars % 128) / 128.0::double >= 0.5 then 1.0::double else 0 end) as climate_share_bert,
     ln(1 + count(*)) as log_n_articles
   from documents group by 1
 )
@@ -297,7 +297,7 @@ text_signal as (
 
 
 def text_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prob = (F.col("n_chars") % 101) / F.lit(100.0)
+    prob = (F.col("n_chars") % 128) / F.lit(128.0)
     offset = ((F.col("doc_id") * 7) % 2400).cast("int")
     day = F.date_add(F.lit("1995-01-01").cast("date"), offset)
     return (

@@ -74,14 +74,14 @@ def regime_metrics(spark, sf_dir):
 
 _SCORED = """
 scored as (
-  select quality as y, case when (n_chars % 101) / 100.0::double >= 0.5 then 1 else 0 end as yhat
+  select quality as y, case when (n_chars % 128) / 128.0::double >= 0.5 then 1 else 0 end as yhat
   from documents join labels using (doc_id)
 )
 """
 
 
 def _scored(spark, sf_dir):
-    predicted = ((F.col("n_chars") % 101) / F.lit(100.0) >= 0.5).cast("int")
+    predicted = ((F.col("n_chars") % 128) / F.lit(128.0) >= 0.5).cast("int")
     documents = table(spark, sf_dir, "documents").select("doc_id", predicted.alias("yhat"))
     return documents.join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("y")), "doc_id")
 
