@@ -59,8 +59,25 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """Write a table once to the shared folder and read it back.
 
     For results that are costly and read more than once. The files outlive lost
-    executors, and later filters and column choices reach the Parquet scan.
+    executors, and later filters and column choices reach the Parquet scan. They
+    are removed by `unstage`, or else when the driver's JVM ends.
     """
-    path = stage_path(df.sparkSession, label)
+    spark = df.sparkSession
+    path = stage_path(spark, label)
+    hadoop_path, files = _file_system(spark, path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    files.deleteOnExit(hadoop_path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_path = path
+    return out
+
+
+def unstage(df: DataFrame) -> None:
+    """Remove the files behind a table that `staged` returned; nothing may read it any more."""
+    hadoop_path, files = _file_system(df.sparkSession, df._staged_path)
+    files.delete(hadoop_path, True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path, hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
