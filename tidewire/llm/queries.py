@@ -7,13 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import checking_sql, decontamination, embedding_dedup, minhash_dedup
+from tidewire.llm import bpe, checking_sql, decontamination, embedding_dedup, minhash_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and round trip of all documents."""
+    return bpe.digests(_table(spark, sf_dir, "documents"), _vocabulary())
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in all documents."""
     found = decontamination.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -38,7 +49,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_decontamination, op9_embedding_dedup, op10_minhash)}
+    return {f.__name__: f for f in (op3_bpe, op4_decontamination, op9_embedding_dedup, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
