@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import bpe, checking_sql, decontamination, embedding_dedup, minhash_dedup
+from tidewire.llm import bpe, checking_sql, decontamination, embedding_dedup, minhash_dedup, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards, and where they would be with one more."""
+    tree = sharding.even_tree(24)
+    return sharding.shard_documents(_table(spark, sf_dir, "documents"), tree, sharding.grown(tree, "region0", "rack1"))
+
+
 def _vocabulary() -> str:
     import public_tokenizers
 
@@ -49,7 +55,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_bpe, op4_decontamination, op9_embedding_dedup, op10_minhash)}
+    return {f.__name__: f for f in (op2_sharding, op3_bpe, op4_decontamination, op9_embedding_dedup, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
