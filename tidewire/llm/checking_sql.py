@@ -41,3 +41,26 @@ degree as (select l as vec_id, count(*) as n from links group by 1)
 select vec_id, coalesce(n, 0)::bigint as n_links, component_id, vec_id = component_id as kept
 from embeddings join component using (vec_id) left join degree using (vec_id)
 """
+
+
+def url_verdicts(rules, reputation: str, limit: float) -> str:
+    """SQL of the URL filter; the reputation text is the one that Spark runs."""
+    listed = ", ".join(f"('{r.text}', '{r.host}', '{r.path}', '{r.verdict}')" for r in rules)
+    return rf"""
+with parsed as (
+  select page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), '{_UPPER}', '{_LOWER}') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path
+  from (select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages)
+), outcomes as (
+  select doc_id as page_id, min(case when quality = 0 or toxic = 1 then 0 else 1 end) as good from labels
+  where doc_id is not null and (quality is not null or toxic is not null) group by 1
+), hosts as (
+  select host, count(good) as n, coalesce(sum(good), 0) as k from parsed left join outcomes using (page_id) group by 1
+), known as ({reputation}),
+rules(rule, rule_host, rule_path, verdict) as (values {listed}),
+fitting as (
+  select distinct host, path, rule, verdict, length(rule) as size from (select distinct host, path from parsed) as p, rules
+  where (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path)
+), winners as (select host, path, arg_max(rule, size) as rule, arg_max(verdict, size) as verdict from fitting group by 1, 2)
+select page_id, host, path, rule, coalesce(verdict, case when outcomes = 0 or bound >= {limit} then 'allow' else 'block' end) as verdict
+from parsed join known using (host) left join winners using (host, path)
+"""

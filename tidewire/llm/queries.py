@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import bpe, checking_sql, decontamination, embedding_dedup, minhash_dedup, sharding
+from tidewire.llm import bpe, checking_sql, decontamination, embedding_dedup, minhash_dedup, sharding, url_reputation
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,21 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+URL_RULES = [
+    url_reputation.Rule("allow", "org/"),
+    url_reputation.Rule("block", "example.org/es/"),
+    url_reputation.Rule("block", "example.org/en/1"),
+    url_reputation.Rule("allow", "com/fr/"),
+    url_reputation.Rule("block", "com/de/"),
+]
+
+
+def op8_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on the urls of all pages."""
+    judged = url_reputation.judge(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all vectors."""
     return embedding_dedup.near_vectors(_table(spark, sf_dir, "embeddings"))
@@ -55,8 +70,12 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op3_bpe, op4_decontamination, op9_embedding_dedup, op10_minhash)}
+    return {f.__name__: f for f in (op2_sharding, op3_bpe, op4_decontamination, op8_url_reputation, op9_embedding_dedup, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": checking_sql.DECONTAMINATION, "op9_embedding_dedup": checking_sql.NEAR_VECTORS}
+    return {
+        "op4_decontamination": checking_sql.DECONTAMINATION,
+        "op8_url_reputation": checking_sql.url_verdicts(URL_RULES, url_reputation.REPUTATION, url_reputation.LIMIT),
+        "op9_embedding_dedup": checking_sql.NEAR_VECTORS,
+    }
