@@ -61,18 +61,31 @@ def texts(column: pa.Array) -> Texts:
     return Texts(np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), bounds)
 
 
-def groups(column: pa.Array, limit: int = GROUP_BYTES) -> Iterator[tuple[int, int, Texts]]:
-    """Runs of rows whose texts hold at most `limit` bytes together, or one row."""
+def groups(column: pa.Array, limit: int = GROUP_BYTES, rows: int = 1 << 30) -> Iterator[tuple[int, int, Texts]]:
+    """Runs of at most `rows` rows whose texts hold at most `limit` bytes together, or one row."""
     whole = texts(column)
     low, count = 0, len(whole)
     while low < count:
         high = int(np.searchsorted(whole.offsets, whole.offsets[low] + limit, side="right")) - 1
-        high = min(count, max(low + 1, high))
+        high = min(count, low + rows, max(low + 1, high))
         start = whole.offsets[low]
         yield low, high, Texts(whole.data[start : whole.offsets[high]], whole.offsets[low : high + 1] - start)
         low = high
 
 
+_NOT_LETTERS = np.arange(256, dtype=np.uint8)
+_NOT_LETTERS[[b for b in range(128) if not chr(b).isalpha()]] = 0x20
+
+
+def letters(source: Texts) -> Texts:
+    """The texts with every run of ASCII bytes that are no letters as one blank."""
+    data = _NOT_LETTERS[source.data]
+    keep = data != 0x20
+    keep[:-1] |= keep[1:]
+    counts = [np.count_nonzero(keep[a:b]) for a, b in zip(source.offsets[:-1], source.offsets[1:])]
+    return Texts(data[keep], np.cumsum([0, *counts]))
+
+
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A one-to-one scrambling of 64-bit numbers, another one for each seed."""
     x = x + np.uint64((seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % 2**64)
@@ -147,18 +160,20 @@ def sequence_hash(hashes: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
     return mix(total, 5 + length)
 
 
-def ngram_counts(source: Texts, n: int, dims: int) -> np.ndarray:
-    """Counts of hashed byte n-grams, one row per document; dims is a power of two."""
-    data = source.data.astype(np.uint32)
-    count = len(data) - n + 1
-    if count <= 0:
-        return np.zeros((len(source), dims), dtype=np.float32)
-    key = np.zeros(count, dtype=np.uint32)
-    for k in range(n):
-        key = key * np.uint32(16777619) + data[k : k + count]
-    key *= np.uint32(2654435761)
-    key >>= np.uint32(32 - dims.bit_length() + 1)
-    doc = np.repeat(np.arange(len(source)), np.diff(source.offsets))[:count]
-    whole = np.arange(count) + n <= source.offsets[1:][doc]
-    flat = np.bincount(doc[whole] * dims + key[whole], minlength=len(source) * dims)
-    return flat.reshape(len(source), dims).astype(np.float32)
+def ngram_counts(source: Texts, sizes: tuple[int, ...], dims: int) -> np.ndarray:
+    """Counts of hashed byte n-grams of the given sizes, one row per document; dims is a power of two."""
+    out = np.zeros(len(source) * dims, dtype=np.int64)
+    for low in range(0, len(source.data), PIECE_BYTES):
+        data = source.data[low : low + PIECE_BYTES + max(sizes) - 1].astype(np.uint32)
+        key = np.zeros(len(data), dtype=np.uint32)
+        for n in range(1, max(sizes) + 1):
+            key = key[: len(data) - n + 1] * np.uint32(16777619) + data[n - 1 :] + np.uint32(1)
+            count = min(len(key), PIECE_BYTES)
+            if n not in sizes or count <= 0:
+                continue
+            slot = (key[:count] * np.uint32(2654435761)) >> np.uint32(33 - dims.bit_length())
+            at = np.arange(low, low + count)
+            doc = np.searchsorted(source.offsets, at, side="right") - 1
+            whole = at + n <= source.offsets[1:][doc]
+            out += np.bincount(doc[whole] * dims + slot[whole], minlength=len(out))
+    return out.reshape(len(source), dims).astype(np.float32)

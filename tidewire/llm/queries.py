@@ -7,13 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import bpe, checking_sql, decontamination, embedding_dedup, minhash_dedup, sharding, url_reputation
+from tidewire.llm import bpe, checking_sql, decontamination, embedding_dedup, language_id, minhash_dedup, quality, sharding, url_reputation
+from tidewire.llm.sampling import remainder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quality_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels a quality model may learn from."""
+    return _table(spark, sf_dir, "labels").where(remainder(5) != 0).select("doc_id", F.col("quality").alias("label"))
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents."""
+    scored = quality.score(_table(spark, sf_dir, "documents").select("doc_id", "text"), quality_labels(spark, sf_dir))
+    return scored.select(
+        "doc.doc_id",
+        F.coalesce(remainder(5, "doc.doc_id") == 0, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards, and where they would be with one more."""
     tree = sharding.even_tree(24)
@@ -44,6 +61,15 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents."""
+    docs = _table(spark, sf_dir, "documents")
+    named = language_id.identify(docs.select("doc_id", "text"), docs.where(remainder(5) != 0).select("doc_id", "text", "lang"))
+    return named.select(
+        "doc.doc_id", F.coalesce(remainder(5, "doc.doc_id") == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "accepted"
+    )
+
+
 URL_RULES = [
     url_reputation.Rule("allow", "org/"),
     url_reputation.Rule("block", "example.org/es/"),
@@ -70,7 +96,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op3_bpe, op4_decontamination, op8_url_reputation, op9_embedding_dedup, op10_minhash)}
+    return {f.__name__: f for f in (op1_quality, op2_sharding, op3_bpe, op4_decontamination, op7_language_id, op8_url_reputation, op9_embedding_dedup, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
