@@ -186,7 +186,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     places = spread.unionByName(centres.select("doc", cell(F.col("k"), 0, "head").alias("c")))
     places = places.groupBy("doc").agg(F.collect_list("c").alias("cells"))
     text = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).where("doc is not null")
-    sets = staged(text.join(places, "doc").mapInArrow(_set_rows(shingle_words), _SETS), "sets")
+    sets = staged(text.join(places.hint("merge"), "doc").mapInArrow(_set_rows(shingle_words), _SETS), "sets")
     stars = sets.select("doc", "shingles", F.explode("cells").alias("c")).select("doc", "shingles", "c.*", F.col("doc").alias("component"))
     links = staged(_verified(stars, percent), "star-links")
 
@@ -224,7 +224,7 @@ def _across(classes: DataFrame, spokes: DataFrame, sets: DataFrame, links: DataF
         "doc", "cell", F.expr("explode(transform(filter(sequence(0, b - 1), k -> k != j), k -> a * b + least(j, k) * b + greatest(j, k)))").alias("slot"), F.lit(1).alias("side")
     )
     places = own.unionByName(facing).unionByName(among).join(labelled.select("doc", "component", "bands"), "doc")
-    return _verified(places.join(sets.select("doc", "shingles"), "doc").select("doc", "shingles", "cell", "slot", "side", "component", "bands"), percent)
+    return _verified(places.hint("merge").join(sets.select("doc", "shingles"), "doc").select("doc", "shingles", "cell", "slot", "side", "component", "bands"), percent)
 
 
 def _result(rows: DataFrame, classes: DataFrame, same_id: DataFrame, links: DataFrame) -> DataFrame:
