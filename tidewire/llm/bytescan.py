@@ -43,10 +43,11 @@ class Texts(NamedTuple):
 
 
 class Words(NamedTuple):
-    """Words in text order: document index, first byte, hash; bounds[i]:bounds[i + 1] are those of document i."""
+    """Words in text order: document index, first byte, bytes, hash; bounds[i]:bounds[i + 1] are those of document i."""
 
     doc: np.ndarray
     start: np.ndarray
+    size: np.ndarray
     hash: np.ndarray
     bounds: np.ndarray
 
@@ -125,7 +126,7 @@ def _pieces(data: np.ndarray, table: np.ndarray) -> Iterator[tuple[int, int]]:
 
 def words(source: Texts, table: np.ndarray) -> Words:
     """All words of the documents, A-Z lower-cased. Words never cross from one document into the next."""
-    starts, hashes = [], []
+    starts, sizes, hashes = [], [], []
     edge = np.zeros(len(source.data) + 1, dtype=bool)
     edge[source.offsets] = True
     lower = _LOWER[source.data]
@@ -143,11 +144,13 @@ def words(source: Texts, table: np.ndarray) -> Words:
         place = at - np.repeat(begin, lengths)
         values = _BYTE_VALUES[part[at]] * _powers_to(int(lengths.max()))[place]
         starts.append(begin + low)
+        sizes.append(lengths)
         hashes.append(mix(np.add.reduceat(values, heads) + lengths.astype(np.uint64), 3))
     start = np.concatenate(starts) if starts else np.zeros(0, np.int64)
     bounds = np.searchsorted(start, source.offsets)
     doc = np.repeat(np.arange(len(source)), np.diff(bounds))
-    return Words(doc, start, np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), bounds)
+    size = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
+    return Words(doc, start, size, np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), bounds)
 
 
 def sequence_hash(hashes: np.ndarray, length: int, seed: int = 0) -> np.ndarray:

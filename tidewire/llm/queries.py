@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import bpe, checking_sql, decontamination, embedding_dedup, language_id, minhash_dedup, quality, sharding, url_reputation
+from tidewire.llm import bpe, checking_sql, decontamination, embedding_dedup, language_id, minhash_dedup, quality, sharding, toxicity, url_reputation
 from tidewire.llm.sampling import remainder
 
 
@@ -61,6 +61,18 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents."""
+    labels = _table(spark, sf_dir, "labels").where(remainder(3) != 1).select("doc_id", "toxic")
+    scored = toxicity.score(_table(spark, sf_dir, "documents").select("doc_id", "text"), labels)
+    return scored.select(
+        "doc.doc_id",
+        F.coalesce(remainder(3, "doc.doc_id") == 1, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of all documents."""
     docs = _table(spark, sf_dir, "documents")
@@ -96,7 +108,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_sharding, op3_bpe, op4_decontamination, op7_language_id, op8_url_reputation, op9_embedding_dedup, op10_minhash)}
+    return {f.__name__: f for f in (op1_quality, op2_sharding, op3_bpe, op4_decontamination, op6_toxicity, op7_language_id, op8_url_reputation, op9_embedding_dedup, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
