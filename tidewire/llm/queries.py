@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import bpe, checking_sql, decontamination, embedding_dedup, language_id, minhash_dedup, quality, sharding, toxicity, url_reputation
+from tidewire.llm import bpe, checking_sql, decontamination, embedding_dedup, language_id, line_dedup, minhash_dedup, quality, sharding, toxicity, url_reputation
 from tidewire.llm.sampling import remainder
 
 
@@ -61,6 +61,12 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the later copies of repeated line runs."""
+    cleaned = line_dedup.remove_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc.doc_id", "text", "n_kept", "n_removed", "words_removed")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents."""
     labels = _table(spark, sf_dir, "labels").where(remainder(3) != 1).select("doc_id", "toxic")
@@ -108,7 +114,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_sharding, op3_bpe, op4_decontamination, op6_toxicity, op7_language_id, op8_url_reputation, op9_embedding_dedup, op10_minhash)}
+    return {f.__name__: f for f in (op1_quality, op2_sharding, op3_bpe, op4_decontamination, op5_line_dedup, op6_toxicity, op7_language_id, op8_url_reputation, op9_embedding_dedup, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
