@@ -11,18 +11,18 @@ from tidewire.llm import bpe, checking_sql, decontamination, embedding_dedup, la
 from tidewire.llm.sampling import remainder
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def quality_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The labels a quality model may learn from."""
-    return _table(spark, sf_dir, "labels").where(remainder(5) != 0).select("doc_id", F.col("quality").alias("label"))
+    return table(spark, sf_dir, "labels").where(remainder(5) != 0).select("doc_id", F.col("quality").alias("label"))
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all documents."""
-    scored = quality.score(_table(spark, sf_dir, "documents").select("doc_id", "text"), quality_labels(spark, sf_dir))
+    scored = quality.score(table(spark, sf_dir, "documents").select("doc_id", "text"), quality_labels(spark, sf_dir))
     return scored.select(
         "doc.doc_id",
         F.coalesce(remainder(5, "doc.doc_id") == 0, F.lit(False)).alias("held_out"),
@@ -34,10 +34,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards, and where they would be with one more."""
     tree = sharding.even_tree(24)
-    return sharding.shard_documents(_table(spark, sf_dir, "documents"), tree, sharding.grown(tree, "region0", "rack1"))
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), tree, sharding.grown(tree, "region0", "rack1"))
 
 
-def _vocabulary() -> str:
+def vocabulary() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
@@ -45,12 +45,12 @@ def _vocabulary() -> str:
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and round trip of all documents."""
-    return bpe.digests(_table(spark, sf_dir, "documents"), _vocabulary())
+    return bpe.digests(table(spark, sf_dir, "documents"), vocabulary())
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in all documents."""
-    found = decontamination.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    found = decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id",
         "n_words",
@@ -63,14 +63,14 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the later copies of repeated line runs."""
-    cleaned = line_dedup.remove_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    cleaned = line_dedup.remove_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cleaned.select("doc.doc_id", "text", "n_kept", "n_removed", "words_removed")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents."""
-    labels = _table(spark, sf_dir, "labels").where(remainder(3) != 1).select("doc_id", "toxic")
-    scored = toxicity.score(_table(spark, sf_dir, "documents").select("doc_id", "text"), labels)
+    labels = table(spark, sf_dir, "labels").where(remainder(3) != 1).select("doc_id", "toxic")
+    scored = toxicity.score(table(spark, sf_dir, "documents").select("doc_id", "text"), labels)
     return scored.select(
         "doc.doc_id",
         F.coalesce(remainder(3, "doc.doc_id") == 1, F.lit(False)).alias("held_out"),
@@ -81,7 +81,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of all documents."""
-    docs = _table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents")
     named = language_id.identify(docs.select("doc_id", "text"), docs.where(remainder(5) != 0).select("doc_id", "text", "lang"))
     return named.select(
         "doc.doc_id", F.coalesce(remainder(5, "doc.doc_id") == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "accepted"
@@ -99,18 +99,18 @@ URL_RULES = [
 
 def op8_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts on the urls of all pages."""
-    judged = url_reputation.judge(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"), URL_RULES)
+    judged = url_reputation.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all vectors."""
-    return embedding_dedup.near_vectors(_table(spark, sf_dir, "embeddings"))
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents on shingles of four words."""
-    return minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=4)
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=4)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
