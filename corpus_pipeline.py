@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewire.llm import minhash_dedup
+from tidewire.llm import stages
 from tidewire.session import staged
 
-STAGES: list = []
+#: Each takes (spark, docs, sf_dir); all but the last return the columns of documents.
+STAGES = [
+    ("quality_classifier", stages.good_quality),
+    ("line_dedup", stages.without_repeated_lines),
+    ("minhash_dedup", stages.without_near_copies),
+    ("decontamination", stages.without_benchmark),
+    ("bpe", stages.token_digests),
+]
 #: SQL cannot express the fitted classifier, the tokenizer and the near copies; tests compare with brute force.
 ORACLE_SQL = None
 
