@@ -155,7 +155,8 @@ def _votes(voters: np.ndarray, features: np.ndarray):
 
 
 def label_model(votes: np.ndarray, share: float, rounds: int = 25) -> np.ndarray:
-    """Posterior of toxic per document from votes in {-1, 0, 1}, correlated voters counted once."""
+    """Posterior of toxic per document from votes in {-1, 0, 1}, correlated voters counted once; `share`: the class balance."""
+    prior = np.clip(share, 1e-3, 1 - 1e-3)
     speaks = np.concatenate([votes == 1, votes == -1], axis=1)
     speaks = speaks[:, speaks.any(axis=0)].astype(np.float32)
     points = (votes == 1).sum(axis=1) - (votes == -1).sum(axis=1)
@@ -171,7 +172,6 @@ def label_model(votes: np.ndarray, share: float, rounds: int = 25) -> np.ndarray
             scale = np.sqrt((rest * rest).sum(axis=0)) + 1e-6
             alike = (rest.T @ rest) / scale[:, None] / scale[None, :]
             discount = 1 / (alike > COPIES).sum(axis=1).clip(min=1)
-        prior = np.clip(total / len(p), 1e-3, 1 - 1e-3)
         evidence = speaks @ (discount * (np.log(here) - np.log(there)))
         # silence of a voter says little by itself and is left out, as abstaining is not a vote
         posterior = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + evidence, -30, 30)))
