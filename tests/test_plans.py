@@ -255,13 +255,20 @@ def model_rows(spark, n=300):
 
 
 def test_model_grid_and_lasso(spark):
-    split = tail_models.scaled_split(model_rows(spark), ["a", "b"], first_test="2021-08-01", last_test="2021-12-31")
-    grid = tail_models.fit_grid(split, {"M1": ["a"], "M2": ["a", "b"], "M3": ["b"]})
-    results = {r["config"]: r for r in tail_models.compare(split.test, grid).collect()}
+    periods = {"first_test": "2021-08-01", "last_test": "2021-12-31"}
+    table = model_rows(spark).withColumn("b", F.when(F.dayofmonth("date") > 5, F.col("b")))
+    grid = tail_models.fit_grid(table, {"M1": ["a"], "M2": ["a", "b"], "M3": ["b"]}, **periods)
+    results = {r["config"]: r for r in tail_models.compare(grid).collect()}
+    # a gap in b costs the model of a alone no rows
+    n = table.filter("date < date '2021-08-01'").count()
+    gaps = table.filter("date < date '2021-08-01' and b is null").count()
+    assert [(results[m]["n_train"], results[m]["n_dropped"]) for m in ("M1", "M2", "M3")] == [(n, 0), (n - gaps, gaps), (n - gaps, gaps)]
+    assert all(r["weighted_positives"] == pytest.approx(r["n_train"] / 2, abs=1e-4) for r in results.values())
     assert results["M1"]["delta_roc_auc"] == 0.0 and results["M1"]["roc_auc"] > 0.65
-    best = tail_models.best_model(tail_models.compare(split.test, grid)).first()
+    best = tail_models.best_model(tail_models.compare(grid)).first()
     assert best["roc_auc"] == max(r["roc_auc"] for r in results.values())
-    lasso = tail_models.fit_lasso_path(split, strengths=[0.001, 0.1, 10.0], folds=3)
+    with tail_models.scaled_split(model_rows(spark), ["a", "b"], **periods) as split:
+        lasso = tail_models.fit_lasso_path(split, strengths=[0.001, 0.1, 10.0], folds=3)
     assert lasso.folds.count() == 9 and lasso.best_strength in (0.1, 10.0)
     kept = tail_models.coefficients([lasso.model], spark, 0.001).collect()
     assert kept[0]["feature"] == "a"

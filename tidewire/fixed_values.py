@@ -182,6 +182,11 @@ MODEL_CONFIGS = {
     "M5: News-only(within)": NEWS_WITHIN_FEATURES,
     "M6: News-only(global)": NEWS_GLOBAL_FEATURES,
 }
+MERGED_CONFIGS = {
+    "market": MARKET_FEATURES,
+    "market + news": MARKET_FEATURES + NEWS_GLOBAL_FEATURES,
+    "market + news + text": MARKET_FEATURES + NEWS_GLOBAL_FEATURES + TEXT_SIGNAL,
+}
 LASSO_STRENGTHS = 20
 LASSO_FOLDS = 5
 MIN_COEFFICIENT = 0.001

@@ -24,7 +24,8 @@ def split_points(df: DataFrame, column: str, slices: int | None = None) -> list[
     if slices < 2:
         return []
     shares = [i / slices for i in range(1, slices)]
-    row = df.agg(F.percentile_approx(F.col(column).cast("double"), shares, 10000).alias("cuts")).first()
+    value = F.nanvl(F.col(column).cast("double"), F.lit(None))  # NaN has no place in the order
+    row = df.agg(F.percentile_approx(value, shares, 10000).alias("cuts")).first()
     return sorted(set(row["cuts"] or []))
 
 
@@ -84,9 +85,9 @@ def running_totals(
 
 
 def score_counts(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
-    """Positives and negatives per distinct score; ties are gone afterwards."""
+    """Positives and negatives per distinct score; ties are gone afterwards. Missing and NaN scores are left out."""
     return (
-        df.filter(F.col(label).isNotNull() & F.col(score).isNotNull())
+        df.filter(F.col(label).isNotNull() & F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
         .groupBy(*by, F.col(score).cast("double").alias("score"))
         .agg(
             F.sum(F.col(label).cast("bigint")).alias("pos"),
@@ -130,7 +131,7 @@ def exact_quantiles(df: DataFrame, value: str, shares: Mapping[str, float], by:
     per value, runs the totals in slices and picks the two neighbours by rank.
     """
     by = list(by)
-    present = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_value"))
+    present = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*by, F.col(value).cast("double").alias("_value"))
     counts = present.groupBy(*by, "_value").agg(F.count("*").alias("_n"))
     running = running_totals(counts, "_value", ["_n"], by, split_points(present, "_value"))
     totals = counts.groupBy(*by).agg(F.sum("_n").alias("_all"))

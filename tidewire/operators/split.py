@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,16 +57,40 @@ def stratified_split(
 
 
 def contiguous_folds(
-    df: DataFrame, label: str, order: str, k: int, name: str = "fold", by_label: bool = True
+    df: DataFrame, label: str, order: Sequence[str], k: int, name: str = "fold", by_label: bool = True
 ) -> DataFrame:
     """k blocks per label along ``order``, sizes differing by at most one.
 
-    For modelling tables of one row per day, whose labels hold at most one row per
-    calendar day.
+    ``order`` should leave no ties, or the blocks are not repeatable. Rows are ranked
+    within one value of the first order column (a day); the days before it are added
+    from a table with one row per label and day, so no task holds a label.
     """
-    window = Window.partitionBy(*([label] if by_label else [])).orderBy(order)
-    return df.withColumn(name, F.ntile(k).over(window) - 1)
+    keys, first = ([label] if by_label else []), order[0]
+    slim = df.withColumn("_by", F.struct(*keys) if keys else F.lit(0)).withColumn("_first", F.col(first))
+    per_label = Window.partitionBy("_by")
+    earlier = per_label.orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
+    days = (
+        slim.groupBy("_by", "_first")
+        .agg(F.count("*").alias("_n"))
+        .select("_by", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"), F.sum("_n").over(per_label).alias("_all"))
+    )
+    inside = Window.partitionBy("_by", "_first").orderBy(*order)
+    ranked = slim.withColumn("_nth", F.row_number().over(inside)).join(days, ["_by", "_first"])
+    place = F.col("_before") + F.col("_nth") - 1  # from 0
+    # the first `_all % k` blocks hold one row more, as ntile has it
+    size, more = F.floor(F.col("_all") / k), F.col("_all") % k
+    long = more * (size + 1)
+    block = F.when(place < long, F.floor(place / (size + 1))).otherwise(more + F.floor((place - long) / F.greatest(size, F.lit(1))))
+    return ranked.withColumn(name, block.cast("int")).drop("_by", "_first", "_nth", "_before", "_all")
 
 
-def test_size(n: int, share: float) -> int:
-    return math.ceil(n * share - 1e-9)
+def three_way_split(
+    df: DataFrame, id_col: str, label: str, test_share: float = 0.2, validation_share: float = 0.2, seed: int = 42, name: str = "part"
+) -> DataFrame:
+    """Mark every row ``test``, ``validation`` or ``train``, each label split alike: first the test
+    rows of all, then the validation rows of the rest. Rows without a label are ``train``."""
+    tested = stratified_split(df, id_col, label, test_share, seed, "_test")
+    rest = F.when(~F.col("_test"), F.col(label))
+    checked = stratified_split(tested.withColumn("_rest", rest), id_col, "_rest", validation_share, seed + 1, "_validation")
+    part = F.when(F.col("_test"), "test").when(F.col("_validation"), "validation").otherwise("train")
+    return checked.withColumn(name, part).drop("_test", "_rest", "_validation")

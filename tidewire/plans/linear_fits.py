@@ -15,11 +15,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ROWS_PER_TASK = 100_000
-
 
 @dataclass(frozen=True)
 class FitSpec:
@@ -36,9 +36,8 @@ class FitSpec:
     left_out: int = -1
 
 
-def compact(df: DataFrame, n_rows: int) -> DataFrame:
-    """Fewer partitions for a table that is read many times by short jobs."""
-    return df.coalesce(max(1, -(-n_rows // ROWS_PER_TASK)))
+class NotConverged(RuntimeError):
+    """A fit whose optimality conditions do not hold within the tolerance."""
 
 
 def _partial_sums(columns: Sequence[str], weights: np.ndarray, left_out: np.ndarray, coefficients: np.ndarray):
@@ -72,13 +71,14 @@ def _all_sums(rows: DataFrame, columns, weights, left_out, coefficients) -> tupl
         _partial_sums(columns, weights, left_out, coefficients), "model int, sums array<double>"
     )
     totals = (
-        partial.select("model", F.posexplode("sums").alias("place", "value"))
-        .groupBy("model", "place")
-        .agg(F.sum("value").alias("value"))
-        .toArrow()
+        partial.select("model", array_to_vector("sums").alias("sums"))
+        .groupBy("model")
+        .agg(vector_to_array(Summarizer.sum(F.col("sums"))).alias("sums"))
+        .collect()
     )
     flat = np.zeros((n_models, 1 + width + width * width))
-    flat[totals["model"].to_numpy(), totals["place"].to_numpy()] = totals["value"].to_numpy()
+    for row in totals:
+        flat[row["model"]] = row["sums"]
     return flat[:, 0], flat[:, 1 : 1 + width], flat[:, 1 + width :].reshape(n_models, width, width)
 
 
@@ -106,7 +106,9 @@ def _l1_step(start, gradient, curvature, penalty, used) -> np.ndarray:
     point = start.copy()
     support = used & ((point != 0) | (penalty == 0))
     signs = np.sign(point) * (penalty > 0)
-    for _ in range(500):
+    for turn in range(100 * len(point) + 1):
+        if turn == 100 * len(point):
+            raise NotConverged(f"active set of {len(point)} coefficients after {turn} rounds")
         step = np.where(support, 0.0, -start)
         wanted = -(gradient + penalty * signs + curvature @ step)[support]
         step[support] = np.linalg.lstsq(curvature[np.ix_(support, support)], wanted, rcond=None)[0]
@@ -129,6 +131,16 @@ def _l1_step(start, gradient, curvature, penalty, used) -> np.ndarray:
     return point - start
 
 
+def kkt_residual(point, gradient, l2, l1, used) -> np.ndarray:
+    """The largest violation of each model's optimality conditions."""
+    penalised = np.where(np.arange(point.shape[1]) > 0, 1.0, 0.0)
+    slope = gradient + l2[:, None] * penalised * point
+    bound = l1[:, None] * penalised
+    at_zero = np.maximum(np.abs(slope) - bound, 0)
+    violation = np.where(point != 0, np.abs(slope + bound * np.sign(point)), at_zero)
+    return np.where(used, violation, 0.0).max(axis=1)
+
+
 def fit_together(
     rows: DataFrame,
     columns: Sequence[str],
@@ -136,12 +148,15 @@ def fit_together(
     specs: Sequence[FitSpec],
     fold: str | None = None,
     max_steps: int = 60,
-    tolerance: float = 1e-6,
+    tolerance: float = 1e-8,
 ) -> list[tuple[float, dict[str, float]]]:
     """Intercept and coefficients by feature name for every spec.
 
     ``rows`` should be cached: every step reads them once. A step that makes a
-    model worse is halved for that model.
+    model worse is halved for that model. Fits end when the optimality conditions
+    of all models hold: no partial derivative is above ``tolerance`` times the total
+    weight of the rows (for an L1 penalty, beyond what the penalty holds back).
+    NotConverged is raised when ``max_steps`` do not get there.
     """
     ready = rows.select(
         *columns,
@@ -161,10 +176,14 @@ def fit_together(
     point = np.zeros((len(specs), len(columns) + 1))
     value, gradient, curvature = measure(point)
     step = _best_steps(point, gradient, curvature, l2, l1, used)
+    total = value / np.log(2)  # at zero every row loses ln 2 times its weight
     share = np.ones(len(specs))
-    for _ in range(max_steps):
-        if np.abs(share[:, None] * step).max() < tolerance:
+    for turn in range(max_steps + 1):
+        residual = kkt_residual(point, gradient, l2, l1, used) / np.maximum(total, 1e-300)
+        if (residual <= tolerance).all():
             break
+        if turn == max_steps:
+            raise NotConverged(f"{int((residual > tolerance).sum())} of {len(specs)} models after {max_steps} steps, residual {residual.max():.3g}")
         tried = point + share[:, None] * step
         new_value, new_gradient, new_curvature = measure(tried)
         better = new_value <= value + 1e-12 * np.abs(value)

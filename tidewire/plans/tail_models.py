@@ -7,8 +7,11 @@ over the test rows, as column expressions.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -21,7 +24,18 @@ from tidewire.operators.ordering import ranking_metrics
 from tidewire.operators.scaling import standardize, with_class_weight
 from tidewire.operators.split import contiguous_folds, split_by_date
 from tidewire.operators.windows import SeriesOrder, row_sequences
-from tidewire.plans.linear_fits import FitSpec, compact, fit_together
+from tidewire.plans.linear_fits import FitSpec, fit_together
+from tidewire.session import staged
+
+
+#: Fits that run at the same time; each is a row of short jobs that leave most tasks of a cluster idle.
+FITS_AT_ONCE = 8
+
+
+def side_by_side(work: Callable, items: Sequence) -> list:
+    """Results of ``work`` over the items, in their order, from jobs submitted in parallel."""
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        return list(pool.map(work, items))
 
 
 @dataclass(frozen=True)
@@ -50,28 +64,39 @@ class ScaledSplit:
     train: DataFrame
     test: DataFrame
     class_sizes: Mapping[int, int]
+    n_dropped: int = 0
 
     @property
     def n_train(self) -> int:
         return sum(self.class_sizes.values())
 
 
+@contextmanager
 def scaled_split(
     table: DataFrame,
     features: Sequence[str],
     label: str = "target_tail",
     first_test: str = fv.MODEL_SPLIT,
     last_test: str = fv.MODEL_TEST_END,
-) -> ScaledSplit:
+) -> Iterator[ScaledSplit]:
     """Split by date, drop rows with a missing feature, scale by the training rows.
 
-    ``table`` should be written or cached: statistics and rows are read apart.
+    ``table`` should be written or cached: statistics and rows are read apart. The
+    training rows are held in memory until the context ends. ``n_dropped`` counts the
+    training rows that lack one of these features.
     """
-    whole = table.na.drop(subset=list(features))
-    train, test = split_by_date(whole, "date", first_test, last_test)
-    sizes = {int(r[label]): r["n"] for r in train.groupBy(label).agg(F.count("*").alias("n")).collect()}
-    scaled = compact(standardize(train, train, features), sum(sizes.values())).persist()
-    return ScaledSplit(tuple(features), label, scaled, standardize(test, train, features), sizes)
+    complete = F.lit(True)
+    for feature in features:
+        complete = complete & F.col(feature).isNotNull() & ~F.isnan(F.col(feature).cast("double"))
+    known = split_by_date(table, "date", first_test, last_test)[0].groupBy(label, complete.alias("complete"))
+    counts = known.agg(F.count("*").alias("n")).collect()
+    sizes = {int(r[label]): r["n"] for r in counts if r["complete"]}
+    train, test = split_by_date(table.filter(complete), "date", first_test, last_test)
+    scaled = standardize(train, train, features).persist()
+    try:
+        yield ScaledSplit(tuple(features), label, scaled, standardize(test, train, features), sizes, sum(r["n"] for r in counts if not r["complete"]))
+    finally:
+        scaled.unpersist()
 
 
 def balanced(sizes: Mapping[int, int]) -> tuple[float, float]:
@@ -80,25 +105,55 @@ def balanced(sizes: Mapping[int, int]) -> tuple[float, float]:
     return tuple(n / (2 * sizes[k]) if sizes.get(k) else 0.0 for k in (0, 1))
 
 
+@dataclass(frozen=True)
+class FittedConfig:
+    """One feature set: its model, the scaled test rows, and the training rows used and left out.
+
+    ``weighted_positives`` is the sum of the fitted probabilities times the class weights:
+    as the intercept is free, it equals the weighted number of positives.
+    """
+
+    model: LinearModel
+    test: DataFrame
+    n_train: int
+    n_dropped: int
+    weighted_positives: float
+
+
 def fit_grid(
-    split: ScaledSplit, configs: Mapping[str, Sequence[str]] = fv.MODEL_CONFIGS, strength: float = 1.0
-) -> list[LinearModel]:
-    """Class-balanced L2 models, one per named feature set, in shared passes."""
-    weights = balanced(split.class_sizes)
-    specs = [FitSpec(tuple(features), weights, l2=1.0 / strength) for features in configs.values()]
-    fits = fit_together(split.train, split.features, split.label, specs)
-    return [LinearModel(i, name, *fit) for i, (name, fit) in enumerate(zip(configs, fits))]
-
-
-def score_models(test: DataFrame, models: Sequence[LinearModel], *keep: str) -> DataFrame:
-    """``config_no, config, prob`` for every test row and model."""
-    scores = F.array(
-        *[
-            F.struct(F.lit(m.number).alias("config_no"), F.lit(m.name).alias("config"), m.probability().alias("prob"))
-            for m in models
-        ]
-    )
-    return test.select(*keep, F.explode(scores).alias("m")).select(*keep, "m.*")
+    table: DataFrame,
+    configs: Mapping[str, Sequence[str]] = fv.MODEL_CONFIGS,
+    strength: float = 1.0,
+    label: str = "target_tail",
+    first_test: str = fv.MODEL_SPLIT,
+    last_test: str = fv.MODEL_TEST_END,
+) -> list[FittedConfig]:
+    """Class-balanced L2 models, one per named feature set.
+
+    Every set uses all rows that have its own features, so that a gap in one feature
+    costs no rows of the models without it.
+    """
+
+    def fit(numbered: tuple[int, tuple[str, Sequence[str]]]) -> FittedConfig:
+        number, (name, features) = numbered
+        with scaled_split(table, features, label, first_test, last_test) as split:
+            weights = balanced(split.class_sizes)
+            spec = FitSpec(split.features, weights, l2=1.0 / strength)
+            model = LinearModel(number, name, *fit_together(split.train, split.features, label, [spec])[0])
+            weight = F.when(F.col(label) == 1, weights[1]).otherwise(weights[0])
+            total = split.train.agg(F.sum(model.probability() * weight).alias("total")).first()["total"]
+            return FittedConfig(model, split.test, split.n_train, split.n_dropped, total)
+
+    return side_by_side(fit, list(enumerate(configs.items())))
+
+
+def score_models(fitted: Sequence[tuple[LinearModel, DataFrame]], *keep: str) -> DataFrame:
+    """``config_no, config, prob`` for every model and test row, written once: metrics read it twice."""
+    scored = [
+        test.select(*keep, F.lit(m.number).alias("config_no"), F.lit(m.name).alias("config"), m.probability().alias("prob"))
+        for m, test in fitted
+    ]
+    return staged(reduce(DataFrame.unionByName, scored), "model-scores")
 
 
 def with_first_difference(results: DataFrame, order: str = "config_no", metric: str = "roc_auc") -> DataFrame:
@@ -107,10 +162,14 @@ def with_first_difference(results: DataFrame, order: str = "config_no", metric:
     return results.withColumn(f"delta_{metric}", F.col(metric) - first.scalar())
 
 
-def compare(test: DataFrame, models: Sequence[LinearModel], label: str = "target_tail") -> DataFrame:
-    """ROC-AUC, average precision and the difference to the first model."""
-    scored = score_models(test, models, label)
-    return with_first_difference(ranking_metrics(scored, label, "prob", ["config_no", "config"]))
+def compare(fitted: Sequence[FittedConfig], label: str = "target_tail") -> DataFrame:
+    """Rows used, ROC-AUC, average precision and the difference to the first model."""
+    scored = score_models([(f.model, f.test) for f in fitted], label)
+    results = with_first_difference(ranking_metrics(scored, label, "prob", ["config_no", "config"]))
+    counts = F.create_map(
+        *[x for f in fitted for x in (F.lit(f.model.number), F.struct(F.lit(f.n_train).alias("n_train"), F.lit(f.n_dropped).alias("n_dropped"), F.lit(f.weighted_positives).alias("weighted_positives")))]
+    )
+    return results.withColumn("_counts", counts[F.col("config_no")]).select("*", "_counts.*").drop("_counts")
 
 
 def best_model(results: DataFrame, metric: str = "roc_auc") -> DataFrame:
@@ -176,7 +235,7 @@ def fit_lasso_path(
     classes. All folds and strengths share the same passes over the rows.
     """
     strengths = list(strengths or lasso_strengths())
-    rows = compact(contiguous_folds(split.train, split.label, "date", folds), split.n_train).persist()
+    rows = contiguous_folds(split.train, split.label, ["date", *[c for c in ("series_id",) if c in split.train.columns]], folds).persist()
     try:
         held = {(r["fold"], r[split.label]): r["n"] for r in rows.groupBy("fold", split.label).agg(F.count("*").alias("n")).collect()}
         keys, specs = [], []
@@ -228,29 +287,28 @@ def fit_sequence_models(
     """Boosted trees over row windows, one model per seed, scored on the test rows.
 
     The number of trees is chosen on the last part of the training period, never on
-    test rows. Returns ``seed, date, label, prob``.
+    test rows. Returns ``seed, date, label, prob, n_train``.
     """
     train, test = split_by_date(samples, "date", first_test, last_test)
     place = F.percent_rank().over(Window.partitionBy("series_id").orderBy("date"))
     marked = train.withColumn("_validation", place > 1 - validation_share)
     weighted = with_class_weight(marked, label).withColumn("label", F.col(label).cast("double"))
-    rows = compact(weighted, train.count()).persist()
-    scored = []
+    rows = weighted.persist()
+
+    def fit(seed: int) -> DataFrame:
+        estimator = GBTClassifier(
+            labelCol="label", weightCol="weight", validationIndicatorCol="_validation", seed=seed,
+            maxIter=max_iter, maxDepth=max_depth, subsamplingRate=0.7, featureSubsetStrategy="sqrt",
+        )
+        prob = F.get(vector_to_array("probability"), F.lit(1))
+        return estimator.fit(rows).transform(test).select(F.lit(seed).alias("seed"), "date", label, prob.alias("prob"))
+
     try:
-        for seed in seeds:
-            estimator = GBTClassifier(
-                labelCol="label", weightCol="weight", validationIndicatorCol="_validation", seed=seed,
-                maxIter=max_iter, maxDepth=max_depth, subsamplingRate=0.7, featureSubsetStrategy="sqrt",
-            )
-            model = estimator.fit(rows)
-            prob = F.get(vector_to_array("probability"), F.lit(1))
-            scored.append(model.transform(test).select(F.lit(seed).alias("seed"), "date", label, prob.alias("prob")))
+        n_train = rows.count()
+        scored = side_by_side(fit, list(seeds))
     finally:
         rows.unpersist()
-    result = scored[0]
-    for more in scored[1:]:
-        result = result.unionByName(more)
-    return result
+    return reduce(DataFrame.unionByName, scored).withColumn("n_train", F.lit(n_train))
 
 
 def run_summary(runs: DataFrame, by: str = "model") -> DataFrame:

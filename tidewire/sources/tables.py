@@ -45,19 +45,22 @@ def read_parquet(spark: SparkSession, *paths: str, schema: str | T.StructType |
     return reader.option("mergeSchema", merge).parquet(*paths)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give costly text expressions as many tasks as there are cores.
+def spread(df: DataFrame, key: str, tasks: int | None) -> DataFrame:
+    """Deal a badly laid out file to ``tasks`` tasks; None leaves the scan's own splits.
 
-    A file of one row group is one task however large the cluster is. A table that
-    already has enough splits, as any large one, is returned as it is. The key
-    becomes the partitioning, which later joins and aggregates on it reuse.
+    A file of one row group is one task however large the cluster is. That is for the
+    caller to know: this costs a shuffle of the whole table, so it is never guessed
+    from sizes.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores, key)
+    return df.repartition(tasks, key) if tasks else df
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """CSV with header; quoted fields may hold quotes and line ends."""
+    """CSV with header; quoted fields may hold quotes and line ends.
+
+    Such a file cannot be split, so it is one task: for exchange with other programs.
+    Between stages use Parquet.
+    """
     return (
         spark.read.schema(schema)
         .option("header", True)

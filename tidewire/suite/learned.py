@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import PipelineModel
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire import fixed_values as fv
 from tidewire.operators import summaries
 from tidewire.operators.ordering import ranking_metrics
-from tidewire.operators.split import stratified_split
+from tidewire.operators.split import contiguous_folds, stratified_split
 from tidewire.plans import tail_models as models
 from tidewire.plans import text_classifier as classifier
 from tidewire.plans import text_signal as signal
 from tidewire.session import stage_path, staged
 from tidewire.suite import inputs
-from tidewire.suite.modelling import model_rows
+from tidewire.suite.modelling import TABLE_CTE, model_rows
 from tidewire.suite.registry import query, r6, rounded, table, text_table
 from tidewire.suite.signals import labelled
 
@@ -51,19 +54,19 @@ def tfidf_weights(spark, sf_dir):
     )
 
 
-_models: dict[tuple[str, str], object] = {}
+_models: dict[tuple[str, str], tuple] = {}
 
 
 def _fitted(spark, sf_dir):
-    """The marked labelled texts and the classifier, fitted once per session and saved."""
-    rows = staged(signal.prepare_labels(labelled(spark, sf_dir)), "labelled")
-    marked = stratified_split(rows, "doc_id", "label", 0.2)
+    """The marked labelled texts and the classifier, staged and fitted once per session and input, then read from files."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _models:
+        rows = signal.prepare_labels(labelled(spark, sf_dir))
+        marked = staged(stratified_split(rows, "doc_id", "label", 0.2), "labelled")
         path = stage_path(spark, "text-classifier")
         classifier.fit_text_classifier(marked.filter(~F.col("is_test"))).write().overwrite().save(path)
-        _models[key] = PipelineModel.load(path)
-    return marked, _models[key]
+        _models[key] = marked, PipelineModel.load(path)
+    return _models[key]
 
 
 @query()
@@ -136,27 +139,74 @@ def batch_scores(spark, sf_dir):
 
 _ALL = [*fv.MARKET_FEATURES, *fv.NEWS_WITHIN_FEATURES, *fv.NEWS_GLOBAL_FEATURES]
 _LABEL = "target_tail"
-
-
-def _split(spark, sf_dir, features):
-    rows = model_rows(spark, sf_dir)
-    return models.scaled_split(rows, features, first_test=inputs.SPLIT, last_test=inputs.TEST_END)
+_PERIODS = {"first_test": inputs.SPLIT, "last_test": inputs.TEST_END}
+
+
+def _sql_rows(configs, extra: str = "") -> str:
+    """Rows and class weights per feature set; a free intercept makes the weighted probabilities add up to half of them."""
+    parts = [
+        f"""select {i} as config_no, '{name}' as config,
+          count(*) filter (where {complete} and date < date '{inputs.SPLIT}') as n_train,
+          count(*) filter (where not ({complete}) and date < date '{inputs.SPLIT}') as n_dropped,
+          count(*) filter (where {complete} and date between date '{inputs.SPLIT}' and date '{inputs.TEST_END}') as n,
+          coalesce(sum(target_tail) filter (where {complete} and date between date '{inputs.SPLIT}' and date '{inputs.TEST_END}'), 0) as n_pos
+        from model_table"""
+        for i, (name, features) in enumerate(configs.items())
+        for complete in [" and ".join(f"{f} is not null" for f in features)]
+    ]
+    return f"""with {TABLE_CTE}, counted as ({' union all '.join(parts)})
+      select config_no, config, n_train, n_dropped, n, n_pos, round(n_train / 2, 4) + 0.0::double as weighted_positives,
+        true as ranked from counted"""
+
+
+def _fitted_rows(results):
+    """The part of a comparison that SQL can say as well, and that its metrics are possible ones."""
+    possible = F.col("roc_auc").between(0, 1) & F.col("average_precision").between(0, 1)
+    return rounded(
+        results.select("config_no", "config", "n_train", "n_dropped", "n", "n_pos", "weighted_positives", F.coalesce(possible, F.lit(False)).alias("ranked")), 4
+    )
 
 
 @query()
 def model_grid(spark, sf_dir):
     """Six feature sets: exact AUC and average precision, difference to the first."""
-    split = _split(spark, sf_dir, _ALL)
-    return rounded(models.compare(split.test, models.fit_grid(split)))
+    return rounded(models.compare(models.fit_grid(model_rows(spark, sf_dir), **_PERIODS)))
+
+
+@query(_sql_rows(fv.MODEL_CONFIGS))
+def model_grid_rows(spark, sf_dir):
+    """The rows each of the six models could use, and the sum that its fit must give."""
+    return _fitted_rows(models.compare(models.fit_grid(model_rows(spark, sf_dir), **_PERIODS)))
+
+
+@query()
+def merged_grid(spark, sf_dir):
+    """Market, with news, and with the text signal as well: what the text adds."""
+    return rounded(models.compare(models.fit_grid(model_rows(spark, sf_dir), fv.MERGED_CONFIGS, **_PERIODS)))
+
+
+@query(_sql_rows(fv.MERGED_CONFIGS))
+def merged_grid_rows(spark, sf_dir):
+    return _fitted_rows(models.compare(models.fit_grid(model_rows(spark, sf_dir), fv.MERGED_CONFIGS, **_PERIODS)))
+
+
+@query()
+def text_to_models(spark, sf_dir):
+    """The whole chain: fitted text scores, daily signal, modelling table, the three models."""
+    _, model = _fitted(spark, sf_dir)
+    days = F.date_add(F.lit("1995-01-01").cast("date"), ((F.col("doc_id") * 7) % 2400).cast("int"))
+    documents = inputs.article_text(spark, sf_dir).withColumnRenamed("text", "text_clean").withColumn("news_date", F.date_format(days, "yyyy-MM-dd"))
+    scored = signal.with_predictions(classifier.score_with_pipeline(signal.drop_blank(documents), model))
+    rows = model_rows(spark, sf_dir, signal.daily_signal_c(scored, "pred_prob_climate", "pred_label"))
+    return rounded(models.compare(models.fit_grid(rows, fv.MERGED_CONFIGS, **_PERIODS)))
 
 
 @query()
 def model_regimes(spark, sf_dir):
     """The best of the six models, measured per period."""
-    split = _split(spark, sf_dir, _ALL)
-    fitted = models.fit_grid(split)
-    best = models.best_model(models.compare(split.test, fitted)).first()["config_no"]
-    scored = models.score_models(split.test, [fitted[best]], "date", _LABEL)
+    fitted = models.fit_grid(model_rows(spark, sf_dir), **_PERIODS)
+    best = fitted[models.best_model(models.compare(fitted)).first()["config_no"]]
+    scored = models.score_models([(best.model, best.test)], "date", _LABEL)
     regimes = {"1999": F.year("date") == 1999, "2000 on": F.year("date") >= 2000}
     return rounded(models.regime_metrics(scored, _LABEL, "prob", regimes, "config"))
 
@@ -164,17 +214,18 @@ def model_regimes(spark, sf_dir):
 @query()
 def model_coefficients(spark, sf_dir):
     """Coefficients by absolute size, without the ones near 0."""
-    split = _split(spark, sf_dir, _ALL)
-    return rounded(models.coefficients(models.fit_grid(split), spark, fv.MIN_COEFFICIENT))
+    fitted = models.fit_grid(model_rows(spark, sf_dir), **_PERIODS)
+    return rounded(models.coefficients([f.model for f in fitted], spark, fv.MIN_COEFFICIENT))
 
 
 @query()
 def lasso_path(spark, sf_dir):
     """Cross-validated AUC per L1 strength, the best one, and its metrics on test rows."""
-    split = _split(spark, sf_dir, _ALL)
-    lasso = models.fit_lasso_path(split)
+    with models.scaled_split(model_rows(spark, sf_dir), _ALL, **_PERIODS) as split:
+        lasso = models.fit_lasso_path(split)
     path = lasso.folds.groupBy("strength").agg(F.avg("roc_auc").alias("mean_auc"), F.count("*").alias("n_folds"))
-    final = models.compare(split.test, [lasso.model]).select(F.struct("roc_auc", "average_precision").alias("r"))
+    scored = models.score_models([(lasso.model, split.test)], _LABEL)
+    final = ranking_metrics(scored, _LABEL, "prob").select(F.struct("roc_auc", "average_precision").alias("r"))
     is_best = F.col("strength") == lasso.best_strength
     shown = path.withColumns({"is_best": is_best, "_r": F.when(is_best, final.scalar())})
     return rounded(
@@ -182,27 +233,50 @@ def lasso_path(spark, sf_dir):
     )
 
 
+@query(f"""
+with {TABLE_CTE},
+train as (
+  select target_tail as y, row_number() over (partition by target_tail order by date) - 1 as place, count(*) over (partition by target_tail) as size
+  from model_table where date < date '{inputs.SPLIT}' and {' and '.join(f'{f} is not null' for f in _ALL)}
+),
+blocks as (
+  select y, case when place < size % 5 * (size // 5 + 1) then place // (size // 5 + 1)
+    else size % 5 + (place - size % 5 * (size // 5 + 1)) // (size // 5) end as fold from train
+)
+select cast(fold as int) as fold, count(*) as n, cast(sum(y) as bigint) as n_pos from blocks group by 1
+""")
+def lasso_folds(spark, sf_dir):
+    """The blocks that the L1 path is cross-validated on."""
+    with models.scaled_split(model_rows(spark, sf_dir), _ALL, **_PERIODS) as split:
+        folds = contiguous_folds(split.train, _LABEL, ["date", "series_id"], fv.LASSO_FOLDS)
+        return staged(folds.groupBy("fold").agg(F.count("*").alias("n"), F.sum(_LABEL).cast("long").alias("n_pos")), "folds")
+
+
 @query()
 def lasso_features(spark, sf_dir):
     """The features the best L1 model keeps."""
-    split = _split(spark, sf_dir, _ALL)
-    return rounded(models.coefficients([models.fit_lasso_path(split).model], spark, fv.MIN_COEFFICIENT))
+    with models.scaled_split(model_rows(spark, sf_dir), _ALL, **_PERIODS) as split:
+        return rounded(models.coefficients([models.fit_lasso_path(split).model], spark, fv.MIN_COEFFICIENT))
+
+
+_SEQUENCE_SETS = {
+    "market": fv.MARKET_FEATURES,
+    "market+global": fv.MARKET_FEATURES + fv.NEWS_GLOBAL_FEATURES,
+    "market+global+text": fv.MARKET_FEATURES + fv.NEWS_GLOBAL_FEATURES + fv.TEXT_SIGNAL,
+}
 
 
 @query()
 def sequence_classifier(spark, sf_dir):
-    """Boosted trees over windows of rows, several seeds, summarised per variant."""
+    """Boosted trees over windows of rows: every feature set and window, five seeds, summarised per variant."""
     rows = model_rows(spark, sf_dir)
-    variants = {
-        "market, W=10": (fv.MARKET_FEATURES, 10),
-        "market, W=22": (fv.MARKET_FEATURES, 22),
-        "market+global, W=10": (fv.MARKET_FEATURES + fv.NEWS_GLOBAL_FEATURES, 10),
-    }
-    runs = None
-    for name, (features, window) in variants.items():
-        samples = staged(models.sequence_samples(rows, features, window, first_test=inputs.SPLIT), "samples")
-        scored = models.fit_sequence_models(
-            samples, first_test=inputs.SPLIT, last_test=inputs.TEST_END, seeds=(0, 1), max_iter=10
-        ).withColumn("model", F.lit(name))
-        runs = scored if runs is None else runs.unionByName(scored)
-    return rounded(models.run_summary(ranking_metrics(runs, _LABEL, "prob", ["model", "seed"])))
+    runs = []
+    for name, features in _SEQUENCE_SETS.items():
+        for window in fv.SEQUENCE_WINDOWS:
+            samples = staged(models.sequence_samples(rows, features, window, first_test=inputs.SPLIT), "samples")
+            scored = models.fit_sequence_models(samples, **_PERIODS)
+            runs.append(scored.withColumn("model", F.lit(f"{name}, W={window}")))
+    scored = staged(reduce(DataFrame.unionByName, runs), "sequence-scores")
+    sizes = scored.groupBy("model").agg(F.max("n_train").alias("n_train"), (F.count("*") / F.count_distinct("seed")).cast("long").alias("n_test"))
+    summary = models.run_summary(ranking_metrics(scored, _LABEL, "prob", ["model", "seed"]))
+    return rounded(summary.join(sizes, "model"))

@@ -35,7 +35,7 @@ def narrative_entropy(spark, sf_dir):
     return rounded(tables.news_features(inputs.news_daily(spark, sf_dir)))
 
 
-_TABLE_CTE = f"""{inputs.PRICE_CTE}, {CURRENT_CTE}, {_NEWS_CTE}, {inputs.TEXT_SIGNAL_CTE},
+TABLE_CTE = f"""{inputs.PRICE_CTE}, {CURRENT_CTE}, {_NEWS_CTE}, {inputs.TEXT_SIGNAL_CTE},
 joined as (
   select m.*, n.* exclude (date), s.* exclude (day), s.climate_prob_mean is not null as has_text_signal
   from model_market m join news_features n on m.date = n.date left join text_signal s on m.date = s.day
@@ -51,15 +51,24 @@ model_table as (
 _MODEL_COLUMNS = [*fv.MARKET_FEATURES, *_NEWS, *fv.TEXT_SIGNAL]
 
 
-def model_rows(spark, sf_dir):
-    """Market features with news and the filled text signal."""
+_tables: dict[tuple[str, str], object] = {}
+
+
+def model_rows(spark, sf_dir, signal=None):
+    """Market features with news and the filled text signal; the given tables' own is staged once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if signal is None and key in _tables:
+        return _tables[key]
     features = market.model_features(inputs.prices(spark, sf_dir), inputs.SPLIT)
     news = tables.news_features(inputs.news_daily(spark, sf_dir))
-    return tables.model_table(features, news, inputs.text_signal(spark, sf_dir))
+    rows = tables.model_table(features, news, inputs.text_signal(spark, sf_dir) if signal is None else signal)
+    if signal is None:
+        _tables[key] = rows
+    return rows
 
 
 @query(f"""
-with {_TABLE_CTE}
+with {TABLE_CTE}
 select date, target_tail, has_text_signal, {', '.join(r6(c, c) for c in _MODEL_COLUMNS)} from model_table
 """)
 def model_table(spark, sf_dir):
@@ -68,7 +77,7 @@ def model_table(spark, sf_dir):
 
 
 @query(f"""
-with {_TABLE_CTE},
+with {TABLE_CTE},
 train_medians as (
   select {', '.join(f'median({c}) as m_{c}' for c in fv.TEXT_SIGNAL)} from joined where date < date '1999-01-01'
 )
@@ -84,7 +93,7 @@ def median_impute(spark, sf_dir):
 
 
 @query(f"""
-with {_TABLE_CTE}
+with {TABLE_CTE}
 select count(*) as n, {r6('avg(has_text_signal::int)', 'coverage')}, {r6('avg(target_tail)', 'tail_rate')} from joined
 """)
 def signal_coverage(spark, sf_dir):
@@ -116,7 +125,7 @@ def _sql_scaled(c: str) -> str:
     return f"({c} - avg({c}) {train}) / case when {dev} = 0 then 1 else {dev} end as {c}"
 
 
-_SCALED_CTE = f"""{_TABLE_CTE},
+_SCALED_CTE = f"""{TABLE_CTE},
 scaled as (select date, target_tail, {', '.join(_sql_scaled(c) for c in _SCALED)} from model_table)
 """
 
@@ -133,7 +142,7 @@ def scaled_features(spark, sf_dir):
 
 
 @query(f"""
-with {_TABLE_CTE}
+with {TABLE_CTE}
 select case when date < date '1999-01-01' then 'train' else 'test' end as part, count(*) as n,
   min(date) as first, max(date) as last, {r6('avg(target_tail)', 'tail_rate')}
 from model_table where date <= date '2001-06-30' group by 1
@@ -152,7 +161,7 @@ def date_split(spark, sf_dir):
 
 
 @query(f"""
-with {_TABLE_CTE}
+with {TABLE_CTE}
 select count(*) filter (where target_tail = 0) as n0, count(*) filter (where target_tail = 1) as n1,
   {r6('count(*) / (2 * count(*) filter (where target_tail = 0))', 'weight0')},
   {r6('count(*) / (2 * count(*) filter (where target_tail = 1))', 'weight1')},

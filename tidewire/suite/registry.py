@@ -40,8 +40,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def text_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
-    """A table of texts with enough tasks for expressions over them."""
-    return spread(table(spark, sf_dir, name), key)
+    """A table of texts. The setting ``tidewire.text.tasks`` says that its files have too few row groups."""
+    tasks = spark.conf.get("tidewire.text.tasks", None)
+    return spread(table(spark, sf_dir, name), key, int(tasks) if tasks else None)
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
