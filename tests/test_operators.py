@@ -75,7 +75,7 @@ def test_chunks_equal_whole_windows(spark, chunk_rows):
     values = [rng.choice([rng.uniform(1, 9), -1.0, rng.uniform(1, 9), rng.uniform(1, 9)]) for _ in range(700)]
     data = prices(spark, values).unionByName(prices(spark, values[:40], "short"))
     whole = market.return_features(data).orderBy("series_id", "date").toPandas()
-    chunks = market.Chunks(F.trunc("date", "month"), chunk_rows)
+    chunks = market.Chunks(chunk_rows)
     cut = market.return_features(data, chunks=chunks).select(*whole.columns).orderBy("series_id", "date").toPandas()
     pd.testing.assert_frame_equal(whole, cut, rtol=1e-9)
 
@@ -84,7 +84,7 @@ def test_chunked_panel_has_the_same_threshold(spark):
     rng = random.Random(3)
     data = prices(spark, [rng.uniform(1, 9) for _ in range(300)])
     whole = market.market_panel(data, "2020-08-01").orderBy("date").toPandas()
-    chunks = market.Chunks(F.trunc("date", "month"), 50)
+    chunks = market.Chunks(50)
     cut = market.market_panel(data, "2020-08-01", chunks=chunks).orderBy("date").toPandas()
     pd.testing.assert_frame_equal(whole, cut, rtol=1e-9)
 

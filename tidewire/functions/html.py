@@ -1,51 +1,34 @@
 """Main text of an HTML page as column expressions.
 
-Two readings of a page: the article body with page furniture cut out, and, for
-pages without one, all lines of the body that are long enough to be prose.
+Two readings of a page: its articles with page furniture cut out, and, for pages
+without one, all lines of the body that are not mainly links. Elements that are
+never closed end where a reader would end them: hidden ones at the end of the page,
+paragraphs at the next block.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidewire.functions import text
 
-# --- fixed values: entity names and the characters they stand for
-ENTITIES = {
-    "amp": "&",
-    "lt": "<",
-    "gt": ">",
-    "quot": '"',
-    "apos": "'",
-    "nbsp": "\u00a0",
-    "copy": "©",
-    "reg": "®",
-    "trade": "™",
-    "middot": "·",
-    "bull": "•",
-    "hellip": "…",
-    "ndash": "–",
-    "mdash": "—",
-    "lsquo": "‘",
-    "rsquo": "’",
-    "ldquo": "“",
-    "rdquo": "”",
-    "laquo": "«",
-    "raquo": "»",
-    "deg": "°",
-    "pound": "£",
-    "euro": "€",
-    "cent": "¢",
-    "sect": "§",
-}
+#: The public table of HTML entity names, from the standard library, by their first letter.
+ENTITIES: dict[str, dict[str, str]] = {}
+for _name, _char in sorted(html5.items()):
+    if _name.endswith(";"):
+        ENTITIES.setdefault(_name[0], {})[_name[:-1]] = _char
 
 HIDDEN = ("script", "style", "noscript", "template")
 FURNITURE = ("nav", "aside", "form", "footer")
+MENUS = ("header", "menu", "select", "button")
+BLOCKS = "address|article|aside|blockquote|body|center|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|tr|ul"
 INLINE = "a|abbr|b|cite|code|em|font|i|mark|q|s|small|span|strong|sub|sup|u"
-MIN_LINE = 40
+#: Marks around the text of a link.
+LINK, END = "\x01", "\x02"
 
 
 def without_blocks(html: Column, names: tuple[str, ...]) -> Column:
@@ -54,8 +37,9 @@ def without_blocks(html: Column, names: tuple[str, ...]) -> Column:
 
 
 def without_hidden(html: Column) -> Column:
-    """Remove comments and elements that never show."""
-    return without_blocks(F.regexp_replace(html, r"(?s)<!--.*?-->", " "), HIDDEN)
+    """Remove comments and elements that never show, up to the end of the page if they are not closed."""
+    shown = F.regexp_replace(html, r"(?s)<!--.*?(?:-->|\z)", " ")
+    return reduce(lambda c, n: F.regexp_replace(c, rf"(?is)<{n}\b[^>]*>.*?(?:</{n}\s*>|\z)", " "), HIDDEN, shown)
 
 
 def _code_point(digits: Column, base: int) -> Column:
@@ -66,14 +50,18 @@ def _code_point(digits: Column, base: int) -> Column:
 
 def decode_entities(value: Column) -> Column:
     """Named and numeric entities to characters, each decoded once; unknown ones stay."""
-    names = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+    def table(names: dict[str, str]) -> Column:
+        return F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+
+    # by first letter and then by name: a lookup walks about a hundred entries
+    letters = F.create_map(*[x for letter, names in ENTITIES.items() for x in (F.lit(letter), table(names))])
 
     def piece(part: Column) -> Column:
-        name = F.regexp_extract(part, r"^(#?[A-Za-z0-9]{1,8});", 1)
+        name = F.regexp_extract(part, r"^(#?[A-Za-z0-9]{1,31});", 1)
         char = (
             F.when(name.rlike("^#[0-9]{1,7}$"), _code_point(F.substr(name, F.lit(2)), 10))
             .when(name.rlike("^#[xX][0-9A-Fa-f]{1,6}$"), _code_point(F.substr(name, F.lit(3)), 16))
-            .when(name != "", F.try_element_at(names, name))
+            .when(name != "", F.try_element_at(F.try_element_at(letters, F.substring(name, 1, 1)), name))
         )
         rest = F.substr(part, F.length(name) + 2)
         return F.when(char.isNotNull(), F.concat(char, rest)).otherwise(F.concat(F.lit("&"), part))
@@ -90,20 +78,28 @@ def without_tags(html: Column) -> Column:
 
 
 def primary_text(html: Column) -> Column:
-    """Text of the article element, else of all paragraphs; null if empty."""
+    """Text of the article elements, else of all paragraphs; null if empty."""
     page = without_blocks(without_hidden(html), FURNITURE)
-    article = F.regexp_extract(page, r"(?is)<article\b[^>]*>(.*)</article\s*>", 1)
-    paragraphs = F.array_join(F.regexp_extract_all(page, F.lit(r"(?is)<p\b[^>]*>(.*?)</p\s*>"), F.lit(1)), " ")
+    article = F.array_join(F.regexp_extract_all(page, F.lit(r"(?is)<article\b[^>]*>(.*?)(?:</article\s*>|\z)"), F.lit(1)), " ")
+    paragraph = rf"(?is)<p\b[^>]*>(.*?)(?=</p\s*>|</?(?:{BLOCKS})\b|\z)"
+    paragraphs = F.array_join(F.regexp_extract_all(page, F.lit(paragraph), F.lit(1)), " ")
     body = F.when(article != "", article).otherwise(paragraphs)
     return text.clean_extracted(decode_entities(without_tags(body)))
 
 
-def fallback_text(html: Column, min_line: int = MIN_LINE) -> Column:
-    """All body lines of at least ``min_line`` characters; null if none."""
-    shown = without_hidden(html)
-    body = F.regexp_replace(shown, r"(?is)^.*?<body\b[^>]*>", "")
-    flat = F.regexp_replace(body, r"[\r\n]+", " ")
-    inline = F.regexp_replace(flat, rf"(?i)</?(?:{INLINE})(?:\s[^>]*)?>", "")
+def fallback_text(html: Column) -> Column:
+    """All body lines outside menus of which links make less than half; null if none."""
+    page = without_blocks(without_hidden(html), FURNITURE + MENUS)
+    body = F.regexp_replace(page, r"(?is)^.*?<body\b[^>]*>", "")
+    flat = F.regexp_replace(body, r"[\r\n\x01\x02]+", " ")
+    linked = F.regexp_replace(F.regexp_replace(flat, r"(?i)<a(?:\s[^>]*)?>", LINK), r"(?i)</a\s*>", END)
+    inline = F.regexp_replace(linked, rf"(?i)</?(?:{INLINE})(?:\s[^>]*)?>", "")
     lines = F.split(F.regexp_replace(inline, r"</?[A-Za-z!][^>]*>", "\n"), "\n")
-    prose = F.filter(F.transform(lines, text.collapse_whitespace), lambda line: F.length(line) >= min_line)
-    return text.clean_extracted(decode_entities(F.array_join(prose, " ")))
+
+    def prose(line: Column) -> Column:
+        whole = F.length(text.collapse_whitespace(F.regexp_replace(line, r"[\x01\x02]", "")))
+        own = F.length(text.collapse_whitespace(F.regexp_replace(line, r"\x01[^\x02]*\x02?", "")))
+        return (whole > 0) & (2 * own > whole)
+
+    kept = F.transform(F.filter(lines, prose), lambda line: F.regexp_replace(line, r"[\x01\x02]", ""))
+    return text.clean_extracted(decode_entities(F.array_join(kept, " ")))

@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tidewire.session import row_slices, staged
+
 CHUNK_ROWS = 1_000_000
 
 
@@ -47,15 +49,26 @@ class SeriesOrder:
         return self.rolling(F.avg, value, k, include_current)
 
 
-def with_positions(df: DataFrame, series: SeriesOrder, bucket: Column, name: str) -> DataFrame:
+def range_slices(df: DataFrame, series: SeriesOrder, name: str) -> DataFrame:
+    """Number the table's own slices: neighbours in series and order, about as many rows each.
+
+    The rows are dealt by ranges of all keys and order columns, so one long series, or
+    one crowded day of it, lies in several slices. The dealt rows are written once:
+    the numbers must be the same for every later reader.
+    """
+    spark = df.sparkSession
+    dealt = df.repartitionByRange(row_slices(spark), *series.keys, *series.order)
+    return staged(dealt.withColumn(name, F.spark_partition_id()), "slices")
+
+
+def with_positions(df: DataFrame, series: SeriesOrder, name: str) -> DataFrame:
     """Number the rows of each series from 0 without sorting a series in one task.
 
-    ``bucket`` must not decrease along the series order (a month, a day). Rows are
-    numbered inside their bucket; the counts of earlier buckets, one row per series
-    and bucket, give the offset.
+    Rows are numbered inside slices of the order; the counts of earlier slices, one
+    row per series and slice, give the offset.
     """
     keys = list(series.keys)
-    tagged = df.withColumn("_bucket", bucket)
+    tagged = range_slices(df, series, "_bucket")
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         tagged.groupBy(*keys, "_bucket")
@@ -74,7 +87,6 @@ def with_positions(df: DataFrame, series: SeriesOrder, bucket: Column, name: str
 def in_chunks(
     df: DataFrame,
     series: SeriesOrder,
-    bucket: Column,
     before: int,
     after: int,
     compute: Callable[[DataFrame, SeriesOrder], DataFrame],
@@ -99,7 +111,7 @@ def in_chunks(
         lambda c: c.isNotNull(),
     )
     spread = (
-        with_positions(df, series, bucket, "_position")
+        with_positions(df, series, "_position")
         .withColumn("_own", own)
         .withColumn("_chunk", F.explode(copies))
     )

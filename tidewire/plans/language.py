@@ -4,64 +4,57 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PROFILE_WORDS = 300
+from tidewire.session import staged
 
 
 def words(value: Column) -> Column:
     return F.regexp_extract_all(F.lower(value), F.lit(r"\p{L}+"), F.lit(0))
 
 
-def fit_profiles(
-    df: DataFrame, text_col: str, lang_col: str, languages: Sequence[str], per_language: int = PROFILE_WORDS
-) -> DataFrame:
-    """Log weights per word and language: ``word`` and one column per language.
+def word_counts(df: DataFrame, text_col: str, *keep: str) -> DataFrame:
+    """``keep..., word, n``: the words of each text with their number.
 
-    The profile holds the most frequent words of each language (ties by word), so
-    it has at most ``per_language`` rows per language whatever the corpus size. The
-    rank filter is applied before the shuffle as well as after it.
+    All words of a text lie in one row, so the partial aggregate leaves one row per
+    text and word for the shuffle.
     """
-    counts = (
-        df.filter(F.col(lang_col).isin(list(languages)))
-        .select(F.col(lang_col).alias("lang"), F.explode(words(F.col(text_col))).alias("word"))
-        .groupBy("lang", "word")
-        .agg(F.count("*").alias("n"))
-    )
-    by_rank = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    top = counts.withColumn("_rank", F.row_number().over(by_rank)).filter(F.col("_rank") <= per_language)
-    vocabulary = top.select("word").distinct()
-    table = (
-        counts.join(F.broadcast(vocabulary), "word", "left_semi")
-        .groupBy("word")
-        .agg(*[F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(x) for x in languages])
+    return df.select(*keep, F.explode(words(F.col(text_col))).alias("word")).groupBy(*keep, "word").agg(F.count("*").alias("n"))
+
+
+def fit_profiles(df: DataFrame, text_col: str, lang_col: str, languages: Sequence[str]) -> DataFrame:
+    """Log weights per word and language, for all words: ``word`` and one column per language.
+
+    Counts are taken in one pass and written once; the totals and the weights read them.
+    """
+    labelled = df.filter(F.col(lang_col).isin(list(languages))).withColumnRenamed(lang_col, "lang")
+    counts = labelled.select("lang", F.explode(words(F.col(text_col))).alias("word")).groupBy("word").agg(
+        *[F.count_if(F.col("lang") == x).alias(x) for x in languages]
     )
+    table = staged(counts, "profile-counts")
     totals = table.agg(F.struct(F.count("*").alias("_words"), *[F.sum(x).alias(x) for x in languages]).alias("t"))
     smoothed = table.withColumn("_t", totals.scalar())
-    return smoothed.select(
+    weighted = smoothed.select(
         "word", *[F.ln((F.col(x) + 1) / (F.col(f"_t.{x}") + F.col("_t._words"))).alias(x) for x in languages]
     )
+    return weighted
 
 
-def detect_language(
-    df: DataFrame, id_col: str, text_col: str, profiles: DataFrame, prefix_chars: int | None = None
-) -> DataFrame:
+def detect_language(df: DataFrame, id_col: str, text_col: str, profiles: DataFrame) -> DataFrame:
     """``id_col, lang`` for every row; ``unknown`` where no profile word occurs.
 
-    The profile is broadcast (its size is fixed by its construction). All words of a
-    text lie in one input row, so the partial aggregate leaves one row per text for
-    the shuffle. The whole text counts unless ``prefix_chars`` is set.
+    Whole texts count. The profile has as many rows as there are words, so the join is
+    left to adaptive execution, which also splits a very frequent word.
     """
     languages = [c for c in profiles.columns if c != "word"]
-    value = F.col(text_col) if prefix_chars is None else F.substring(text_col, 1, prefix_chars)
-    scored = (
-        df.select(id_col, F.explode_outer(words(value)).alias("word"))
-        .join(F.broadcast(profiles), "word", "left")
+    sums = (
+        word_counts(df, text_col, id_col)
+        .join(profiles, "word")
         .groupBy(id_col)
-        .agg(*[F.sum(x).alias(x) for x in languages])
+        .agg(*[F.round(F.sum(F.col(x) * F.col("n")), 6).alias(x) for x in languages])
     )
-    scores = F.array(*[F.round(F.col(x), 6) for x in languages])
+    scores = F.array(*[F.col(x) for x in languages])
     names = F.array(*[F.lit(x) for x in languages])
     best = F.element_at(names, F.array_position(scores, F.array_max(scores)).cast("int"))
-    return scored.select(id_col, F.when(F.col(languages[0]).isNull(), "unknown").otherwise(best).alias("lang"))
+    return df.select(id_col).join(sums.select(id_col, best.alias("lang")), id_col, "left").select(id_col, F.coalesce("lang", F.lit("unknown")).alias("lang"))

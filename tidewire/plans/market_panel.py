@@ -12,14 +12,10 @@ from tidewire.functions import dates, numeric
 from tidewire.operators.ordering import exact_quantiles
 from tidewire.operators.windows import CHUNK_ROWS, SeriesOrder, in_chunks
 
-PREDICTORS = ["ret_lag1", "abs_ret_lag1", "rv_5", "rv_10", "rv_22", "ret_mean_5", "ret_mean_10", "ret_t_plus_1"]
-
-
 @dataclass(frozen=True)
 class Chunks:
     """Cut series that one task cannot hold; see ``windows.in_chunks``."""
 
-    bucket: Column
     rows: int = CHUNK_ROWS
 
 
@@ -46,7 +42,7 @@ def load_prices(
 def _run(df: DataFrame, order: SeriesOrder, before: int, after: int, compute, chunks: Chunks | None) -> DataFrame:
     if chunks is None:
         return compute(df, order)
-    return in_chunks(df, order, chunks.bucket, before, after, compute, chunks.rows)
+    return in_chunks(df, order, before, after, compute, chunks.rows)
 
 
 def return_features(
@@ -134,7 +130,7 @@ def market_panel(
         {
             "day": dates.day_key(F.col("date")),
             "target_tail_t_plus_1": numeric.below(F.col("ret_t_plus_1"), F.col("tail_threshold_train")),
-            "usable_for_model": numeric.all_present([F.col(c) for c in PREDICTORS]),
+            "usable_for_model": numeric.all_present([F.col(c) for c in fv.PREDICTORS]),
         }
     ).select("series_id", *fv.MARKET_PANEL_COLUMNS)
 

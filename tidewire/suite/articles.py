@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewire.functions import text, urls
+from tidewire import fixed_values as fv
+from tidewire.functions import html, text, urls
 from tidewire.operators.dedup import first_ids
 from tidewire.plans import article_cleaning as cleaning
 from tidewire.plans import extraction, language
@@ -253,33 +254,64 @@ def _sql_without(value: str, name: str) -> str:
     return rf"regexp_replace({value}, '(?is)<{name}\b[^>]*>.*?</{name}\s*>', ' ', 'g')"
 
 
+_ENTITIES = {"copy": "©", "middot": "·", "nbsp": " ", "quot": '"', "lt": "<", "gt": ">", "apos": "''", "#39": "''", "amp": "&"}
+
+
+def _sql_decoded(value: str) -> str:
+    for name, char in _ENTITIES.items():
+        value = f"replace({value}, '&{name};', '{char}')"
+    return value
+
+
 def _sql_extract() -> str:
     page = r"regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g')"
-    for name in ("script", "style", "noscript", "template", "nav", "aside", "form", "footer"):
+    for name in (*html.HIDDEN, *html.FURNITURE):
         page = _sql_without(page, name)
-    inline = "a|abbr|b|cite|code|em|font|i|mark|q|s|small|span|strong|sub|sup|u"
-    article = r"regexp_extract(page, '(?is)<article\b[^>]*>(.*)</article\s*>', 1)"
-    stripped = rf"regexp_replace(regexp_replace(article, '(?i)</?(?:{inline})(?:\s[^>]*)?>', '', 'g'), '</?[A-Za-z!][^>]*>', ' ', 'g')"
-    decoded = stripped
-    names = {"copy": "©", "middot": "·", "nbsp": " ", "quot": '"', "lt": "<", "gt": ">", "apos": "''", "#39": "''", "amp": "&"}
-    for name, char in names.items():
-        decoded = f"replace({decoded}, '&{name};', '{char}')"
+    rest = "page"
+    for name in html.MENUS:
+        rest = _sql_without(rest, name)
+    inline = rf"(?i)</?(?:{html.INLINE})(?:\s[^>]*)?>"
+    tag = "</?[A-Za-z!][^>]*>"
+    article = r"array_to_string(regexp_extract_all(page, '(?is)<article\b[^>]*>(.*?)</article\s*>', 1), ' ')"
+    stripped = rf"regexp_replace(regexp_replace(article, '{inline}', '', 'g'), '{tag}', ' ', 'g')"
+    body = rf"regexp_replace(regexp_replace({rest}, '(?is)^.*?<body\b[^>]*>', ''), '[\r\n]+', ' ', 'g')"
+    linked = rf"regexp_replace(regexp_replace({body}, '(?i)<a(?:\s[^>]*)?>', chr(1), 'g'), '(?i)</a\s*>', chr(2), 'g')"
+    lines = rf"string_split(regexp_replace(regexp_replace({linked}, '{inline}', '', 'g'), '{tag}', chr(10), 'g'), chr(10))"
+    whole = sql_collapse(r"regexp_replace(x, '[\x01\x02]', '', 'g')")
+    own = sql_collapse(r"regexp_replace(x, '\x01[^\x02]*\x02?', '', 'g')")
+    kept = rf"""array_to_string(list_transform(list_filter({lines}, lambda x: length({whole}) > 0 and 2 * length({own}) > length({whole})),
+      lambda x: regexp_replace(x, '[\x01\x02]', '', 'g')), ' ')"""
     return f"""
-    with stripped as (select page_id, {page} as page from pages),
-    bodies as (select page_id, {article} as article from stripped),
-    texts as (select page_id, {sql_collapse(decoded)} as t from bodies)
+    with given as (select page_id, {_SQL_GIVEN} as html from pages),
+    stripped as (select page_id, html is null as failed, {page} as page from given),
+    bodies as (select page_id, failed, page, {article} as article from stripped),
+    texts as (select page_id, failed, {sql_collapse(_sql_decoded(stripped))} as first, {sql_collapse(_sql_decoded(kept))} as second from bodies),
+    chosen as (
+      select page_id, failed, coalesce(length(first) < 300 and length(second) >= 300, false) as rescued,
+        case when length(first) >= 300 then first when length(second) >= 300 then second end as t from texts)
     """
 
 
+# every fifth page has no article and no paragraph, another fifth was never fetched
+_SQL_GIVEN = """case page_id % 5 when 2 then null when 3 then
+  replace(replace(replace(replace(html, '<article>', '<section>'), '</article>', '</section>'), '<p>', '<div>'), '</p>', '</div>') else html end"""
+
+
 @query(f"""
 {_sql_extract()}
-select page_id, length(t) >= 300 as extract_success, 'primary_html' as extract_method,
-  cast(case when length(t) >= 300 then length(t) else 0 end as int) as text_len,
-  case when length(t) >= 300 then md5(t) end as digest
-from texts
+select page_id, t is not null as extract_success,
+  case when failed then '{fv.DOWNLOAD_FAILED}' when rescued then 'fallback_html' else 'primary_html' end as extract_method,
+  cast(coalesce(length(t), 0) as int) as text_len, md5(t) as digest
+from chosen
 """)
 def extract_text(spark, sf_dir):
+    """Articles, pages that only the second reading can read, and pages that were not fetched."""
     pages = text_table(spark, sf_dir, "pages", "page_id")
+    plain = F.col("html")
+    for old, new in (("<article>", "<section>"), ("</article>", "</section>"), ("<p>", "<div>"), ("</p>", "</div>")):
+        plain = F.replace(plain, F.lit(old), F.lit(new))
+    kind = F.col("page_id") % 5
+    pages = pages.withColumn("html", F.when(kind == 3, plain).when(kind != 2, F.col("html")))
     extracted = extraction.extract_text(pages)
     return extracted.select(
         "page_id", "extract_success", "extract_method", "text_len", F.md5("text").alias("digest")
@@ -314,11 +346,7 @@ with tokens as (
   select doc_id, lang, unnest(regexp_extract_all(lower(text), '\p{{L}}+')) as word from documents
 ),
 counts as (select lang, word, count(*) as n from tokens group by all),
-vocabulary as (
-  select distinct word from (
-    select word from counts qualify row_number() over (partition by lang order by n desc, word) <= 300)
-),
-profile_counts as (select word, {sums} from counts where word in (select word from vocabulary) group by word),
+profile_counts as (select word, {sums} from counts where lang in ('en', 'fr', 'de', 'es') group by word),
 profiles as (select word, {logs} from profile_counts),
 scores as (select doc_id, {totals} from tokens t join profiles p using (word) group by doc_id)
 select d.doc_id, case when s.doc_id is null then 'unknown'

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewire.operators.summaries import null_counts
+from tidewire import fixed_values as fv
 from tidewire.plans import market_panel as market
 from tidewire.suite import inputs
 from tidewire.suite.registry import query, r6, rounded, table
 
-_PREDICTORS = ["ret_lag1", "abs_ret_lag1", "rv_5", "rv_10", "rv_22", "ret_mean_5", "ret_mean_10", "ret_t_plus_1"]
+_PREDICTORS = fv.PREDICTORS
 
 
 def _rolling(fn: str, k: int, name: str, last: str, window: str = "w") -> str:
@@ -94,7 +95,7 @@ def long_series_in_chunks(spark, sf_dir):
         *order[1:],
         F.col("l_extendedprice").alias("wti_price"),
     )
-    chunks = market.Chunks(bucket=F.trunc("date", "month"), rows=4096)
+    chunks = market.Chunks(rows=4096)
     features = market.return_features(items, chunks=chunks, order=order)
     return rounded(
         features.select(
