@@ -43,6 +43,17 @@ def describe_counts(df: DataFrame, key: str) -> DataFrame:
     return describe(df.groupBy(key).agg(F.count("*").alias("rows")), "rows")
 
 
+def score_report(df: DataFrame, score: str, flags: Sequence[str]) -> DataFrame:
+    """``part, name, value``: the distribution of a score, and the rows per value of each flag."""
+    spread = describe(df, score)
+    cells = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in spread.columns])
+    report = spread.select(F.lit(score).alias("part"), F.explode(cells).alias("c")).select("part", "c.*")
+    for flag in flags:
+        counted = df.groupBy(F.col(flag).cast("string").alias("name")).agg(F.count("*").cast("double").alias("value"))
+        report = report.unionByName(counted.withColumn("part", F.lit(flag)))
+    return report
+
+
 def null_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
 

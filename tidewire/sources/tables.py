@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from tidewire import fixed_values as fv
 from tidewire.functions import text, urls
 from tidewire.operators.dedup import keep_first
+from tidewire.session import staged
 
 GKG_ARTICLES = (
     "DATE bigint, DocumentIdentifier string, SourceCommonName string, V2Themes string, V2Tone string, ingest_date date"
@@ -97,6 +98,19 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), mo
     df.write.mode(mode).partitionBy(*partition_by).parquet(path)
 
 
+def write_outputs(parent: DataFrame, path: str, outputs: Mapping[str, Callable[[DataFrame], DataFrame]], as_csv: Sequence[str] = ()) -> None:
+    """Several tables from one parent, which is computed once: each goes to a folder of its name.
+
+    Outputs named in ``as_csv`` are written as CSV, the others as Parquet.
+    """
+    once = staged(parent, "parent")
+    for name, make in outputs.items():
+        if name in as_csv:
+            write_csv(make(once), f"{path}/{name}")
+        else:
+            write_parquet(make(once), f"{path}/{name}")
+
+
 def load_url_sample(df: DataFrame, id_col: str, first_year: int, last_year: int) -> DataFrame:
     """The checked and normalised URL list, first row per day and URL."""
     require_columns(df, fv.URL_SAMPLE_COLUMNS)

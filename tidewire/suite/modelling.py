@@ -176,24 +176,27 @@ def class_weights(spark, sf_dir):
 _SEQUENCE = ["lag1_return", "rvol_5d", "share_policy"]
 
 
-@query(f"""
+def _sql_sequences(k: int) -> str:
+    return f"""
 with {_SCALED_CTE},
 cells as (
   select date, target_tail, [{', '.join(_SEQUENCE)}] as cell from scaled
   where {' and '.join(f'{c} is not null' for c in _SCALED)}
 ),
 windows as (
-  select date, target_tail, list(cell) over (order by date rows between 10 preceding and 1 preceding) as seq from cells
+  select date, target_tail, list(cell) over (order by date rows between {k} preceding and 1 preceding) as seq from cells
 )
 select date, target_tail, len(seq) as window_rows,
-  {', '.join(r6(f'seq[{i}][{j}]', f's{i}_{j}') for i in (1, 5, 10) for j in (1, 2, 3))},
+  {', '.join(r6(f'seq[{i}][{j}]', f's{i}_{j}') for i in (1, 5, k) for j in (1, 2, 3))},
   {r6('list_sum(flatten(seq))', 'total')}
-from windows where len(seq) = 10
-""")
-def row_sequences_10(spark, sf_dir):
+from windows where len(seq) = {k}
+"""
+
+
+def _sequences(spark, sf_dir, k: int):
     rows = _scaled(spark, sf_dir).na.drop(subset=_SCALED)
-    samples = row_sequences(rows, SeriesOrder(("series_id",), ("date",)), _SEQUENCE, 10)
-    cell = {f"s{i}_{j}": F.col("sequence")[i - 1][j - 1] for i in (1, 5, 10) for j in (1, 2, 3)}
+    samples = row_sequences(rows, SeriesOrder(("series_id",), ("date",)), _SEQUENCE, k)
+    cell = {f"s{i}_{j}": F.col("sequence")[i - 1][j - 1] for i in (1, 5, k) for j in (1, 2, 3)}
     total = F.aggregate(F.flatten("sequence"), F.lit(0.0), lambda a, x: a + x)
     return rounded(
         samples.select(
@@ -206,6 +209,16 @@ def row_sequences_10(spark, sf_dir):
     )
 
 
+@query(_sql_sequences(10))
+def row_sequences_10(spark, sf_dir):
+    return _sequences(spark, sf_dir, 10)
+
+
+@query(_sql_sequences(22))
+def row_sequences_22(spark, sf_dir):
+    return _sequences(spark, sf_dir, 22)
+
+
 @query(f"""
 with scores as (select vec_id, embedding::double[] as e from embeddings),
 shifted as (select vec_id, e, list_transform(e, lambda x: exp(x - list_max(e))) as p from scores)
