@@ -1,15 +1,22 @@
 """Cleaning, extraction, signals, resume, streaming and models on small tables."""
 
 import datetime
+import subprocess
+import sys
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewire import fixed_values as fv
 from tidewire.plans import article_cleaning as cleaning
 from tidewire.plans import extraction, language, model_table, tail_models, text_classifier, text_signal
-from tidewire.plans.linear_fits import FitSpec, fit_together
+from tidewire.operators.ordering import ranking_metrics
+from tidewire.operators.split import contiguous_folds
+from tidewire.plans.linear_fits import FitSpec, NotConverged, fit_together
 from tidewire.session import stage_path
 from tidewire.sources import resume, tables
 from tidewire.streaming.incremental import run_incremental
@@ -259,6 +266,47 @@ def test_joint_fits_are_optimal(spark):
     rows.unpersist()
 
 
+def test_joint_fits_equal_spark_ml(spark):
+    _, y, rows = fit_rows(spark)
+    features = VectorAssembler(inputCols=["a", "b", "c"], outputCol="x").transform(rows)
+    there = LogisticRegression(featuresCol="x", labelCol="y", regParam=3.0 / len(y), standardization=False, tol=1e-12, maxIter=500).fit(features)
+    intercept, here = fit_together(rows, ("a", "b", "c"), "y", [FitSpec(("a", "b", "c"), l2=3.0)])[0]
+    assert [intercept, *here.values()] == pytest.approx([there.intercept, *there.coefficients], abs=1e-6)
+    rows.unpersist()
+
+
+def test_unfinished_fits_are_refused(spark):
+    _, _, rows = fit_rows(spark)
+    with pytest.raises(NotConverged):
+        fit_together(rows, ("a", "b", "c"), "y", [FitSpec(("a", "b", "c"), l2=0.1)], max_steps=1)
+    rows.unpersist()
+
+
+def test_staged_tables_go_with_the_driver(tmp_path):
+    code = """
+from tidewire.session import build_session, staged
+spark = build_session(master="local[1]", spark__checkpoint__dir=%r)
+assert staged(spark.range(3), "t").count() == 3
+spark.stop()
+""" % str(tmp_path)
+    subprocess.run([sys.executable, "-c", code], check=True, capture_output=True, timeout=120)
+    left = [p for p in tmp_path.rglob("*") if p.is_file()]
+    assert left == []
+
+
+def test_folds_are_repeatable(spark):
+    """Ties in the day are ordered by series; the blocks are those of ntile."""
+    rows = spark.range(203).select((F.col("id") % 3).cast("string").alias("series_id"), F.expr("date_add(date '2021-01-01', cast(id / 3 as int))").alias("date"), (F.col("id") % 7 == 0).cast("int").alias("y"))
+    folds = [{tuple(r) for r in contiguous_folds(rows.repartition(n), "y", ["date", "series_id"], 5).select("series_id", "date", "fold").collect()} for n in (1, 5)]
+    by = Window.partitionBy("y").orderBy("date", "series_id")
+    assert folds[0] == folds[1] == {tuple(r) for r in rows.select("series_id", "date", (F.ntile(5).over(by) - 1)).collect()}
+
+
+def test_nan_scores_are_left_out(spark):
+    rows = spark.createDataFrame([(1, 0.9), (0, 0.1), (1, float("nan")), (0, None)], "y int, p double")
+    assert ranking_metrics(rows, "y", "p").first()["roc_auc"] == 1.0
+
+
 def model_rows(spark, n=300):
     rng = np.random.default_rng(1)
     rows = []

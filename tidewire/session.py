@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
+_roots: dict[str, str] = {}
 
 
 def build_session(app: str = "tidewire", master: str | None = None, **conf: object) -> SparkSession:
@@ -32,7 +33,8 @@ def build_session(app: str = "tidewire", master: str | None = None, **conf: obje
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, taken from ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a folder of this machine.
+    Only where that is unset, and the master is local as in tests, a folder of this
+    machine takes its place.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -46,8 +48,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stage_path(spark: SparkSession, label: str) -> str:
-    """A path under the shared folder that no other call gets."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A path under the shared folder that no other call gets; everything under it goes when the driver's JVM ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _roots:
+        root = f"{shared_dir(spark)}/tidewire-{app}"
+        path, files = _file_system(spark, root)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _roots[app] = root
+    return f"{_roots[app]}/{label}-{uuid.uuid4().hex}"
 
 
 def row_slices(spark: SparkSession) -> int:
@@ -64,9 +73,7 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = stage_path(spark, label)
-    hadoop_path, files = _file_system(spark, path)
     df.write.parquet(path)
-    files.deleteOnExit(hadoop_path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
     return out

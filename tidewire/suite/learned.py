@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ from tidewire.session import stage_path, staged
 from tidewire.suite import inputs
 from tidewire.suite.modelling import TABLE_CTE, model_rows
 from tidewire.suite.registry import query, r6, rounded, table, text_table
-from tidewire.suite.signals import labelled
+from tidewire.suite.signals import LABELLED_CTE, labelled
 
 _STOP = ["the", "of", "and", "to", "in", "is", "that", "for", "la", "le", "de", "der", "die", "und"]
 
@@ -80,6 +81,39 @@ def text_scores(spark, sf_dir):
     )
 
 
+@query(f"""
+with {inputs.ARTICLE_CTE}
+select doc_id, news_date, true as consistent from article_text where length({inputs.sql_strip('text')}) > 0
+""")
+def text_scores_rows(spark, sf_dir):
+    """Every non-blank document has one score, and label and confidence follow from it."""
+    scored = text_scores(spark, sf_dir)
+    prob = F.col("pred_prob_climate")
+    label = F.col("pred_label") == (prob >= 0.5).cast("int")
+    sure = F.col("high_conf").cast("int") == ((prob >= 0.9) | (prob <= 0.1)).cast("int")
+    return scored.select("doc_id", "news_date", (prob.between(0, 1) & label & sure).alias("consistent"))
+
+
+@query(f"""
+with {LABELLED_CTE},
+marked as (
+  select *, row_number() over (partition by suggested_label order by md5(concat(doc_id::varchar, '|42')))
+    <= ceil(0.2 * count(*) over (partition by suggested_label) - 1e-9) as is_test
+  from labelled where suggested_label in ('climate_yes', 'climate_no') and length({inputs.sql_strip('text')}) > 0
+)
+select count(*) as n_train, count(*) filter (where suggested_label = 'climate_yes') as n_pos,
+  cast(count(*) filter (where suggested_label = 'climate_yes') as double) as fitted_positives
+from marked where not is_test
+""")
+def text_model_balance(spark, sf_dir):
+    """As the intercept is free, the training probabilities add up to the number of positives, as near as the fit ends."""
+    marked, model = _fitted(spark, sf_dir)
+    train = marked.filter(~F.col("is_test"))
+    scored = classifier.score_with_pipeline(train.select("doc_id", "text_clean", "label"), model)
+    sums = scored.agg(F.count("*").alias("n_train"), F.sum("label").cast("long").alias("n_pos"), F.sum("pred_prob_climate").alias("fitted_positives"))
+    return rounded(sums, 0)
+
+
 @query()
 def text_model_report(spark, sf_dir):
     """Precision, recall, F1, accuracy and ranking metrics on the held-out texts."""
@@ -266,6 +300,35 @@ _SEQUENCE_SETS = {
 }
 
 
+def _sql_samples() -> str:
+    parts = []
+    for name, features in _SEQUENCE_SETS.items():
+        for window in fv.SEQUENCE_WINDOWS:
+            complete = " and ".join(f"{f} is not null" for f in features)
+            parts.append(f"""select '{name}, W={window}' as model, {len(features) * window} as width,
+              count(*) filter (where date < date '{inputs.SPLIT}') as n_train,
+              count(*) filter (where date between date '{inputs.SPLIT}' and date '{inputs.TEST_END}') as n_test,
+              coalesce(cast(sum(target_tail) as bigint), 0) as n_pos
+            from (select *, row_number() over (order by date) as place from model_table where {complete}) where place > {window}""")
+    return f"with {TABLE_CTE} {' union all '.join(parts)}"
+
+
+@query(_sql_samples())
+def sequence_samples(spark, sf_dir):
+    """The samples of every feature set and window."""
+    rows, parts = model_rows(spark, sf_dir), []
+    test = F.col("date").between(F.lit(inputs.SPLIT).cast("date"), F.lit(inputs.TEST_END).cast("date"))
+    for name, features in _SEQUENCE_SETS.items():
+        for window in fv.SEQUENCE_WINDOWS:
+            samples = models.sequence_samples(rows, features, window, first_test=inputs.SPLIT)
+            parts.append(samples.agg(
+                F.lit(f"{name}, W={window}").alias("model"), F.max(F.size(vector_to_array("features"))).alias("width"),
+                F.count_if(F.col("date") < F.lit(inputs.SPLIT).cast("date")).alias("n_train"), F.count_if(test).alias("n_test"),
+                F.sum(_LABEL).cast("long").alias("n_pos"),
+            ))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query()
 def sequence_classifier(spark, sf_dir):
     """Boosted trees over windows of rows: every feature set and window, five seeds, summarised per variant."""

@@ -65,7 +65,7 @@ def score_labels(spark, sf_dir):
     )
 
 
-_LABELLED = """
+LABELLED_CTE = """
 labelled as (
   select d.doc_id, d.text,
     case when quality = 1 and toxic = 0 then 'climate_yes' when quality = 0 then 'climate_no' else 'other' end as suggested_label
@@ -83,7 +83,7 @@ def labelled(spark, sf_dir):
 
 
 @query(f"""
-with {_LABELLED}
+with {LABELLED_CTE}
 select doc_id, suggested_label, case suggested_label when 'climate_yes' then 1 else 0 end as label,
   md5({inputs.sql_strip('text')}) as digest
 from labelled where suggested_label in ('climate_yes', 'climate_no') and length({inputs.sql_strip('text')}) > 0
@@ -94,7 +94,7 @@ def prepare_labels(spark, sf_dir):
 
 
 @query(f"""
-with {_LABELLED}, n as (select suggested_label, count(*) as n from labelled group by 1)
+with {LABELLED_CTE}, n as (select suggested_label, count(*) as n from labelled group by 1)
 select suggested_label, n, {r6('n / sum(n) over ()', 'share')} from n
 """)
 def label_counts(spark, sf_dir):
