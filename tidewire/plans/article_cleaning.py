@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewire import fixed_values as fv
 from tidewire.functions import text, urls
 from tidewire.operators.dedup import distinct_counts, first_ids
+from tidewire.session import staged
 from tidewire.sources.tables import require_columns, select_present
 
 
@@ -46,7 +47,7 @@ def clean_pass1(
 ) -> DataFrame:
     """Clean, drop short texts, keep first per URL and per text, measure, flag English.
 
-    Winners are found on ids and digests; only their rows are cleaned and measured.
+    Winners are found on ids and digests; only their rows are cleaned and measured, once.
     ``languages`` maps the surviving rows to ``id_col, lang``; without it the table
     must have a ``lang`` column. Tone is carried through when present.
     """
@@ -59,7 +60,8 @@ def clean_pass1(
     steps.append({"text": text.text_digest(F.col("text_clean"))})
     winners = first_ids(cleaned, id_col, steps, F.length("text_clean") >= min_chars)
     survivors = usable.join(winners, id_col, "left_semi")
-    rows = with_quality(survivors.withColumn("text_clean", text.clean_article(F.col("text"))))
+    # written once: languages and flags read the cleaned texts, and none of them cleans again
+    rows = staged(with_quality(survivors.withColumn("text_clean", text.clean_article(F.col("text")))), "survivors")
     if languages is not None:
         rows = rows.drop("lang").join(languages(rows), id_col, "left")
         rows = rows.withColumn("lang", F.coalesce(F.col("lang"), F.lit("unknown")))

@@ -28,7 +28,7 @@ def require_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Fail while planning, with all missing names at once."""
     missing = [c for c in columns if c not in df.columns]
     if missing:
-        raise ValueError(f"Missing required columns: {missing}")
+        raise ValueError(f"the table lacks {missing}")
     return df
 
 

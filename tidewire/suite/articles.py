@@ -45,7 +45,7 @@ def url_normalize(spark, sf_dir):
 @query(f"""
 with {_PAGES_CTE}
 select domain, count(*) as n, count(distinct url_norm) as n_urls,
-  count(*) filter (where regexp_matches(lower(url), '/authors?/|/tags?/|/categor|/search|/topics?/')) as n_navigation
+  count(*) filter (where regexp_matches(lower(url), '{fv.NAVIGATION_URL}')) as n_navigation
 from pages_norm group by domain
 """)
 def url_domain(spark, sf_dir):
@@ -100,10 +100,9 @@ _GARBLED_SQL = (
 
 
 def _sql_fixed(value: str) -> str:
-    pairs = [("â€™", "''"), ("â€œ", '"'), ("â€”", "-"), ("â€“", "-"), ("â€¦", "..."), ("ï»¿", " "),
-             ("â€", '"'), ("Â ", " "), ("Â", "")]
-    for bad, good in pairs:
-        value = f"replace({value}, '{bad}', '{good}')"
+    for bad, good in sorted(fv.MOJIBAKE.items(), key=lambda pair: -len(pair[0])):  # longer entries first
+        quoted = good.replace("'", "''")
+        value = f"replace({value}, '{bad}', '{quoted}')"
     return sql_collapse(f"replace({value}, chr(65279), ' ')")
 
 
@@ -175,7 +174,7 @@ garbled as (select * exclude (text), {_GARBLED_SQL} as text from article_text),
 repaired as (select *, {_sql_fixed('text')} as text_clean from garbled),
 ruled as (
   select doc_id, text_clean,
-    case when regexp_matches(lower(url), '/authors?/|/tags?/|/categor|/search|/topics?/') then 'navigation_url'
+    case when regexp_matches(lower(url), '{fv.NAVIGATION_URL}') then 'navigation_url'
       when domain in ('www.src9.example.com') then 'blocked_domain'
       when not (length(text_clean) between 200 and 20000) then 'length'
       when {_sql_words('the').replace('lower(text)', 'lower(text_clean)')} > 150

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewire import fixed_values as fv
 from tidewire.functions import themes, urls
 from tidewire.plans import market_panel as market
 from tidewire.suite.registry import table, text_table
@@ -78,7 +79,12 @@ EVENT_THEMES = {
     "error": "BUSINESS_CLIMATE;CARBON",
 }
 
-EVENT_ARTICLES_CTE = """
+_THEME_FLAGS_SQL = ",\n    ".join(
+    f"cast(regexp_matches(themes, '{'|'.join(patterns)}') as int) as {name}" for name, patterns in fv.THEME_PATTERNS.items()
+)
+
+
+EVENT_ARTICLES_CTE = f"""
 articles as (
   select cast(ts as date) as news_date, event_id, round(value * 4) / 4 - 50 as tone_score,
     lower(case event_type
@@ -91,12 +97,8 @@ articles as (
 ),
 tagged as (
   select *,
-    cast(regexp_matches(themes, 'env_climatechange|wb_567_climate_change|ungp_climate_change_action|wb_579_climate_change_mitigation|wb_1854_methane|wb_1841_short_lived_climate_pollutants|carbon|emission|decarbon|net_zero') as int) as is_climate,
-    cast(regexp_matches(themes, 'carbon|emission|decarbon|net_zero') as int) as is_carbon,
-    cast(regexp_matches(themes, 'renewable|solar|wind|hydrogen|carboncapture|wb_525_renewable_energy|wb_528_solar_energy') as int) as is_cleantech,
-    cast(regexp_matches(themes, 'energy_transition|fossil_fuel|wb_539_oil_and_gas_policy_strategy_and_institutions|oil|gas|energy') as int) as is_energy,
-    cast(regexp_matches(themes, 'policy|regulation|carbon_tax|emissions_trading|cap_and_trade|wb_539_oil_and_gas_policy_strategy_and_institutions') as int) as is_policy
-  from articles where not regexp_matches(themes, 'business_climate')
+    {_THEME_FLAGS_SQL}
+  from articles where not regexp_matches(themes, '{fv.EXCLUDED_THEME}')
 ),
 flagged as (
   select *,
