@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.llm import bytescan
+from tidewire.llm.batches import small_batches
 
 GROUP_BYTES = 2 << 20
 #: Words whose ids a worker remembers at most; beyond that it starts anew.
@@ -204,6 +205,7 @@ def _shared(df: DataFrame, path: str):
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and packed ids of every whole text."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_encoder(_shared(docs, path)), "doc_id long, ids binary")
 

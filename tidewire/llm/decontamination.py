@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewire.llm import bytescan
+from tidewire.llm.batches import packed
 
 WINDOW = 10
 #: Benchmark text that one pass searches for: bounds what is broadcast.
@@ -232,7 +233,7 @@ def _searcher(shared, kind: pa.DataType, first: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = shared.value
         for batch in batches:
-            for low, high, source in bytescan.groups(batch.column("text"), SHARD_BYTES):
+            for low, high, source in bytescan.groups(batch.column("doc").field("text"), SHARD_BYTES):
                 words = bytescan.words(source, bytescan.ALNUM)
                 found = search(block, words, len(source))
                 for row, n in zip(found, np.diff(words.bounds)):
@@ -267,12 +268,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
 
     spark = docs.sparkSession
     kind = to_arrow_type(FOUND)
-    out = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.col("text").cast("string").alias("text"))
+    out = packed(docs)
     schema, first = T.StructType([*out.schema.fields, T.StructField("found", FOUND)]), True
     for rows in [*_blocks(benchmark)] or [[]]:
         shared = spark.sparkContext.broadcast(test_block(rows, window))
         out, first = out.mapInArrow(_searcher(shared, kind, first), schema), False
-    return out.select("doc", "found")
+    return out
 
 
 def hit_words(found: str = "found") -> F.Column:

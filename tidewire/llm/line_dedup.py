@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewire.llm.batches import packed
 from tidewire.session import staged
 
 MIN_WORDS = 5
@@ -35,14 +36,13 @@ _AT = ["id", "h", "line"]
 
 
 def _named(docs: DataFrame) -> DataFrame:
-    text = F.col("text").cast("string")
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("doc")
+    return packed(docs).select(
+        F.coalesce(F.col("doc.doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64("doc.text").alias("h"), "doc"
     )
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    lines = _named(docs).select("id", "h", F.posexplode(F.split("text", "\n", -1)).alias("line", "value"))
+    lines = _named(docs).select("id", "h", F.posexplode(F.split("doc.text", "\n", -1)).alias("line", "value"))
     inner = F.trim("value")
     words = F.when(F.length(inner) == 0, 0).otherwise(F.length(inner) - F.length(F.replace(inner, F.lit(" "), F.lit(""))) + 1)
     return lines.select(*_AT, F.xxhash64("value").alias("a"), F.xxhash64(F.lit(29), "value").alias("b"), words.cast("int").alias("words"))
@@ -115,7 +115,7 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def _deleter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, kept, gone, words = batch.column("text").to_pylist(), [], [], []
+        texts, kept, gone, words = batch.column("doc").field("text").to_pylist(), [], [], []
         for k, runs in enumerate(batch.column("runs").to_pylist()):
             lost: set[int] = set()
             if runs:
@@ -137,6 +137,6 @@ def _deleter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """All columns of docs as struct `doc`, the remaining `text`, and numbers of lines kept and removed and of words removed."""
     runs = later_copies(docs, min_words).groupBy("id", "h").agg(F.collect_list(F.struct("line", "size")).alias("runs"))
-    joined = _named(docs).join(runs.hint("merge"), ["id", "h"], "left").select("doc", "text", "runs")
+    joined = _named(docs).join(runs.hint("merge"), ["id", "h"], "left").select("doc", "runs")
     kinds = [T.StructField("text", T.StringType()), *[T.StructField(n, T.LongType()) for n in ("n_kept", "n_removed", "words_removed")]]
     return joined.mapInArrow(_deleter, T.StructType([joined.schema["doc"], *kinds]))

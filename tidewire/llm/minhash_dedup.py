@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.llm import bytescan
+from tidewire.llm.batches import small_batches
 from tidewire.llm.connected import components
 from tidewire.session import staged
 
@@ -165,6 +166,7 @@ def _shard(parts: str) -> F.Column:
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable by links), kept, for every row of docs(doc_id, text)."""
+    small_batches(docs.sparkSession)
     rows = staged(sketch(docs, shingle_words), "sketch")
     bands = [f"band_{k}" for k in range(BANDS)]
     classes = (

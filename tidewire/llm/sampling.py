@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewire.llm.batches import packed, small_batches
+
 
 def remainder(parts: int, doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo parts; null for a null id."""
@@ -36,6 +38,7 @@ def frequencies(docs: DataFrame, counter, dims: int) -> np.ndarray:
                 total += part
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(dims)), pa.array(total)], names=["k", "n"])
 
+    small_batches(docs.sparkSession)
     summed = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
     out = np.zeros(dims, dtype=np.int64)
     for row in summed.collect():  # dims rows, a fixed number
@@ -51,8 +54,8 @@ def attached(docs: DataFrame, work, added: T.StructType) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = work()
         for batch in batches:
-            for low, high, arrays in scorer(batch.column(1)):
+            for low, high, arrays in scorer(batch.column(0).field("text")):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), *arrays], names=["doc", *names])
 
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.col("text").cast("string").alias("text"))
+    rows = packed(docs)
     return rows.mapInArrow(run, T.StructType([rows.schema["doc"], *added.fields]))

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewire.llm import bytescan
+from tidewire.llm.batches import small_batches
 from tidewire.llm.sampling import attached, thinned
 
 STEMS = (4, 5, 6, 7, 8)
@@ -194,6 +195,7 @@ def logistic(rows: list[np.ndarray], count: int, target: np.ndarray, ridge: floa
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """A model of docs(doc_id, text) and labels(doc_id, toxic)."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("double").alias("toxic"))
     counts = known.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0.0)).alias("bad")).first()
