@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from tidewire.llm import bpe, checking_sql, decontamination, embedding_dedup, language_id, line_dedup, minhash_dedup, quality, sharding, toxicity, url_reputation
 from tidewire.llm.sampling import remainder
+from tidewire.sources.tables import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; the setting ``tidewire.text.tasks`` says that the file of documents has too few row groups."""
+    df, tasks = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.conf.get("tidewire.text.tasks", None)
+    return spread(df, "doc_id", int(tasks)) if tasks and name == "documents" else df
 
 
 def quality_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
