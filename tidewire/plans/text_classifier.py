@@ -17,7 +17,7 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,19 +62,6 @@ def term_counts(terms: DataFrame) -> DataFrame:
     )
 
 
-def text_counts(terms: DataFrame, id_col: str) -> DataFrame:
-    """``id, counts``: the distinct terms of each text with their number, without leaving its row.
-
-    Sorted terms are cut where one differs from the one before; a term's number is the
-    distance to the next cut.
-    """
-    ordered = terms.select(id_col, F.sort_array("_terms").alias("_o"))
-    cuts = F.expr("filter(sequence(0, size(_o) - 1), i -> i = 0 or get(_o, i) != get(_o, i - 1))")
-    cut = ordered.withColumn("_c", F.when(F.size("_o") > 0, cuts).otherwise(F.expr("array()")))
-    counted = F.expr("transform(_c, (p, k) -> struct(get(_o, p) as term, coalesce(get(_c, k + 1), size(_o)) - p as n))")
-    return cut.select(id_col, counted.alias("counts"))
-
-
 def vocabulary(counts: DataFrame, max_terms: int = fv.MAX_TERMS) -> DataFrame:
     """The most frequent terms; ties at the limit go to the smaller term."""
     return counts.orderBy(F.desc("tf"), "term").limit(max_terms)
@@ -87,23 +74,17 @@ def smooth_idf(n_docs: Column, df: Column) -> Column:
 
 def term_weights(df: DataFrame, id_col: str, text_col: str, max_terms: int = fv.MAX_TERMS, stop_words: Sequence[str] | None = None) -> DataFrame:
     """``id, term, weight`` in long form: tf * idf, scaled to length 1 per text."""
-    # counted within each text's own row and written once: texts are cut into terms a single time
-    per_text = staged(text_counts(with_terms(df.select(id_col, text_col), text_col, stop_words), id_col), "term-counts")
+    # texts are cut into terms a single time; an outer explode lets no filter on the terms sink below the cutting
+    terms = with_terms(df.select(id_col, text_col), text_col, stop_words).select(id_col, F.explode_outer("_terms").alias("term"))
+    per_text = staged(terms.groupBy(id_col, "term").agg(F.count("term").alias("n")), "term-counts")
     n_docs = df.agg(F.count("*"))
-    pairs = per_text.select(F.explode("counts").alias("t")).select("t.term", "t.n")
-    counts = pairs.groupBy("term").agg(F.sum("n").alias("tf"), F.count("*").alias("df"))
+    counts = per_text.filter("term is not null").groupBy("term").agg(F.sum("n").alias("tf"), F.count("*").alias("df"))
     chosen = vocabulary(counts, max_terms).withColumn("_n", n_docs.scalar())
     weights = chosen.select("term", smooth_idf(F.col("_n"), F.col("df")).alias("idf"))
-    raw = (
-        per_text.select(id_col, F.explode("counts").alias("t"))
-        .select(id_col, "t.term", "t.n")
-        .join(F.broadcast(weights), "term")  # at most max_terms rows
-        .select(id_col, F.struct("term", (F.col("n") * F.col("idf")).alias("raw")).alias("t"))
-    )
-    # the terms of a text meet again in one row, as many as it had
-    whole = raw.groupBy(id_col).agg(F.collect_list("t").alias("terms"))
-    norm = F.sqrt(F.aggregate("terms", F.lit(0.0), lambda s, t: s + t["raw"] * t["raw"]))
-    return whole.select(id_col, norm.alias("norm"), F.explode("terms").alias("t")).select(id_col, "t.term", (F.col("t.raw") / F.col("norm")).alias("weight"))
+    # at most max_terms rows are broadcast; the window holds the terms of one text
+    raw = per_text.join(F.broadcast(weights), "term").select(id_col, "term", (F.col("n") * F.col("idf")).alias("raw"))
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(id_col)))
+    return raw.select(id_col, "term", (F.col("raw") / norm).alias("weight"))
 
 
 def fit_text_features(train: DataFrame, text_col: str, max_terms: int = fv.MAX_TERMS, stop_words: Sequence[str] | None = None) -> PipelineModel:
