@@ -47,6 +47,17 @@ def test_long_run_of_short_lines(spark):
     assert sorted(tuple(r) for r in cleaned.collect()) == brute(rows, 30)
 
 
+def test_repeated_rows_of_short_lines(spark):
+    """Rows that repeat id and text are one document: its runs of several short lines are found as in a single row."""
+    run = "a b\nc d\ne f\ng h\ni j"
+    texts = [(1, "p\n" + run + "\nq"), (2, "r\n" + run), (3, run + "\ns\n" + run), (4, "t u\nv w\nx y")]
+    rows = [*texts, *[texts[k] for k in (1, 1, 1, 2, 0, 3)]]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    cleaned = line_dedup.remove_repeated_lines(frame).select("doc.doc_id", "text", "n_removed").collect()
+    expected = {(a[0], a[1]): b for a, b in zip(sorted(set(rows)), brute(rows, 5))}
+    assert sorted(tuple(r) for r in cleaned) == sorted(expected[r] for r in rows)
+
+
 def test_awkward_rows(spark):
     docs = awkward.documents(spark)
     rows = line_dedup.remove_repeated_lines(docs).collect()

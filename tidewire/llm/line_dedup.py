@@ -45,7 +45,8 @@ def _lines(docs: DataFrame) -> DataFrame:
     lines = _named(docs).select("id", "h", F.posexplode(F.split("doc.text", "\n", -1)).alias("line", "value"))
     inner = F.trim("value")
     words = F.when(F.length(inner) == 0, 0).otherwise(F.length(inner) - F.length(F.replace(inner, F.lit(" "), F.lit(""))) + 1)
-    return lines.select(*_AT, F.xxhash64("value").alias("a"), F.xxhash64(F.lit(29), "value").alias("b"), words.cast("int").alias("words"))
+    lines = lines.select(*_AT, F.xxhash64("value").alias("a"), F.xxhash64(F.lit(29), "value").alias("b"), words.cast("int").alias("words"))
+    return lines.distinct()  # rows that repeat an id and a text are one document; numbers alone are moved, not texts
 
 
 def _ranked(pairs: DataFrame, bucket: F.Column) -> DataFrame:
