@@ -96,6 +96,23 @@ def test_label_model_counts_copies_once():
     assert ((posterior > 0.5) == truth).mean() > 0.95
 
 
+def _taught(spark, toxic, clean):
+    docs = spark.createDataFrame(list(enumerate([*toxic, *clean])), "doc_id long, text string")
+    return docs, spark.createDataFrame([(k, int(k < len(toxic))) for k in range(len(toxic) + len(clean))], "doc_id long, toxic int")
+
+
+def test_rare_toxic_words_are_learned(spark):
+    """A word of ten toxic texts is learned beside a thousand others and beside copies, which teach once."""
+    rng = np.random.default_rng(3)
+    plain = lambda: " ".join("".join(rng.choice(list("aeioustnrl"), 6)) for _ in range(8))
+    toxic = [f"{plain()} vvile{plain()[:2]} {'zqqzz' if k < 10 else 'wkkww'}" for k in range(600)]
+    docs, labels = _taught(spark, [*toxic, *[toxic[-1]] * 1400], [plain() for _ in range(600)])
+    word = toxicity.terms(bytescan.texts(pa.array(["zqqzz"])))[0][0]
+    assert word in toxicity.fit(docs, labels).features
+    once, twice = toxicity.fit(*_taught(spark, toxic[:3], [plain() for _ in range(60)])), toxicity.fit(*[(d.union(d)) for d in _taught(spark, toxic[:3], [plain() for _ in range(60)])])
+    assert word not in once.features and word not in twice.features
+
+
 def test_terms_of_words():
     keys, docs = toxicity.terms(bytescan.texts(pa.array(["lowering lowered", "low", ""])))
     shared = set(keys[docs == 0])

@@ -1,8 +1,8 @@
 """Toxicity by weak supervision.
 
-Voters. From labelled documents, whole words and word beginnings (4 to 8 bytes, for inflected
-forms) are counted by class over all of them; those that occur almost only in toxic documents become lexicon
-voters, and a few patterns (shouting, runs of exclamation marks, direct address next to a lexicon
+Voters. From labelled texts (at most half of SAMPLE per class), whole words and word beginnings (4 to 8 bytes, for inflected
+forms) are counted by class, copies of a text once; those whose share of toxic texts is high by a lower
+confidence bound, however few of the toxic texts they are in, become lexicon voters, and a few patterns (shouting, runs of exclamation marks, direct address next to a lexicon
 word, no lexicon word at all) vote beside them. A voter says toxic, clean or nothing.
 
 Label model. On a bounded sample of documents (SAMPLE, chosen by a hash of the id, labels unused)
@@ -46,8 +46,6 @@ SAMPLE = 20_000
 #: Lower bounds (95 %, Wilson) of a term's share of toxic documents: to be a lexicon voter, to be a feature.
 VOTER_SHARE = 0.65
 FEATURE_SHARE = 0.5
-#: Share of the toxic documents that a term must be in: a passage that a few of them repeat is no lexicon.
-COMMON = 0.01
 #: Voters whose correlation within the classes is above this count as copies of one voter.
 COPIES = 0.8
 
@@ -202,23 +200,23 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     share = counts["bad"] / counts["n"] if counts["n"] else 0.0
     if not 0 < share < 1:
         return Model(np.zeros(0, _U64), np.zeros(0), np.log(max(share, 1e-9) / max(1 - share, 1e-9)))
-    # each class thinned to its half of the sample, so that rare toxic documents all count
-    half = [thinned(known.where(f"toxic = {c}"), "doc_id", SAMPLE // 2, int(n)) for c, n in ((1, counts["bad"]), (0, counts["n"] - counts["bad"]))]
-    chosen = half[0].unionByName(half[1])
-    # about SAMPLE ids at most, so small enough to broadcast; copies of a text teach once
-    taught = rows.join(F.broadcast(chosen), "doc_id").withColumn("copy", F.xxhash64("text"))
-    taught = taught.join(taught.groupBy("copy").agg(F.min("doc_id").alias("doc_id")), ["copy", "doc_id"], "left_semi").select("text", "toxic")
+    # a text is one whatever the number of rows and ids that hold it, with the label of the least id
+    texts = rows.select("doc_id", F.xxhash64("text").alias("copy")).join(known, "doc_id").groupBy("copy").agg(F.min(F.struct("doc_id", "toxic")).alias("first")).select("copy", "first.*")
+    sizes = texts.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0.0)).alias("bad")).first()
+    n_bad, n_good = int(sizes["bad"]), int(sizes["n"] - sizes["bad"])
+    # each class thinned to its half of the sample, so that rare toxic texts all count
+    chosen = thinned(texts.where("toxic = 1"), "copy", SAMPLE // 2, n_bad).unionByName(thinned(texts.where("toxic = 0"), "copy", SAMPLE // 2, n_good))
+    # about SAMPLE texts at most, so small enough to broadcast; rows that repeat one teach once
+    taught = rows.withColumn("copy", F.xxhash64("text")).join(F.broadcast(chosen), ["doc_id", "copy"]).dropDuplicates(["copy"]).select("text", "toxic")
     counted = taught.mapInArrow(_class_counts, "term long, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    n_bad, n_good = min(counts["bad"], SAMPLE // 2), min(counts["n"] - counts["bad"], SAMPLE // 2)
-    # shares among all labelled documents; only terms that lean towards toxic documents are kept, as long
-    # clean texts must not outweigh a few of them
-    thinning = (counts["n"] - counts["bad"]) / n_good * n_bad / counts["bad"]
+    # shares among all labelled texts: where clean texts were thinned more than toxic ones, each stands for several
+    thinning = min(1, SAMPLE / 2 / max(n_bad, 1)) / min(1, SAMPLE / 2 / max(n_good, 1))
     ranked = counted.withColumn("n", F.col("bad") + F.col("good")).withColumn("share", F.col("bad") / (F.col("bad") + F.col("good") * thinning))
     z = 1.96
     ranked = ranked.withColumn(
         "bound", (F.col("share") + z * z / 2 / F.col("n") - z * F.sqrt(F.col("share") * (1 - F.col("share")) / F.col("n") + z * z / 4 / F.col("n") ** 2)) / (1 + z * z / F.col("n"))
     )
-    ranked = ranked.where((F.col("bound") >= FEATURE_SHARE) & (F.col("bad") >= COMMON * n_bad)).orderBy(F.desc(F.col("bound") * F.sqrt("bad")), "term").limit(FEATURES).collect()
+    ranked = ranked.where(F.col("bound") >= FEATURE_SHARE).orderBy(F.desc(F.col("bound") * F.sqrt("bad")), "term").limit(FEATURES).collect()
     features = np.sort(np.array([r["term"] for r in ranked], dtype=np.int64).view(_U64))
     lexicon = [r["term"] for r in ranked if r["bound"] >= VOTER_SHARE][:VOTERS]
     voters = np.sort(np.array(lexicon, dtype=np.int64).view(_U64))
