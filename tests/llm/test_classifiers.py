@@ -113,6 +113,23 @@ def test_rare_toxic_words_are_learned(spark):
     assert word not in once.features and word not in twice.features
 
 
+def test_rare_toxic_documents_count_in_the_fit(spark, monkeypatch):
+    """Toxic documents are few beside the sample, of which a third is one repeated row: words of theirs score as toxic all the same."""
+    monkeypatch.setattr(toxicity, "SAMPLE", 300)
+    rng = np.random.default_rng(4)
+    plain = lambda: " ".join("".join(rng.choice(list("aeioustnrl"), 6)) for _ in range(8))
+    words = ["zqqzz", "wkkww", "vxxvv"]
+    toxic = [f"{plain()} {words[k % 3]} {words[(k + 1) % 3]}" for k in range(60)]
+    clean = [plain() for _ in range(12_000)]
+    docs = spark.createDataFrame([*enumerate([*toxic, *clean]), *[(100, clean[40])] * 6000], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k < 60)) for k in range(260)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    weight = dict(zip(model.features.tolist(), model.weights))
+    assert all(weight[int(toxicity.terms(bytescan.texts(pa.array([w])))[0][0])] > 1 for w in words)
+    found = {r["doc"]["doc_id"]: r["score"] for r in toxicity.score(docs, labels).where("doc.doc_id < 200").collect()}
+    assert min(found[k] for k in range(60)) > 0.5 > max(found[k] for k in range(60, 200))
+
+
 def test_terms_of_words():
     keys, docs = toxicity.terms(bytescan.texts(pa.array(["lowering lowered", "low", ""])))
     shared = set(keys[docs == 0])

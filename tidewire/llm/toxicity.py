@@ -5,8 +5,10 @@ forms) are counted by class, copies of a text once; those whose share of toxic t
 confidence bound, however few of the toxic texts they are in, become lexicon voters, and a few patterns (shouting, runs of exclamation marks, direct address next to a lexicon
 word, no lexicon word at all) vote beside them. A voter says toxic, clean or nothing.
 
-Label model. On a bounded sample of documents (SAMPLE, chosen by a hash of the id, labels unused)
-a generative model estimates by expectation maximisation how often each voter speaks on toxic and
+Label model. All documents are read; those with equal votes and features are one pattern with its
+number of documents, so that all documents without a feature are a single row however many they
+are. The commonest patterns (half of SAMPLE) are all used, of the rest as many are drawn by a hash
+of the pattern and weighted by their share; labels are unused. On these a generative model estimates by expectation maximisation how often each voter speaks on toxic and
 on clean documents. Correlations of voters that remain within the classes are measured, and the
 evidence of voters that nearly always speak together is divided by their number, so that nested
 beginnings of one word do not count several times.
@@ -14,7 +16,7 @@ beginnings of one word do not count several times.
 Classifier. The model's posteriors, not the labels, train a logistic regression on words and word
 beginnings, which scores every document.
 
-Counts are aggregated before the shuffle; what is broadcast (VOTERS, FEATURES, SAMPLE ids) has a
+Counts are aggregated before the shuffle; what is broadcast or collected (VOTERS, FEATURES, SAMPLE) has a
 fixed bound. Defined results: null and empty texts are scored as texts without words; null labels
 and ids teach nothing; of several labels of one id the highest holds; without a toxic or a clean
 label all scores are the share of toxic labels (0 without labels); rows that repeat an id are
@@ -36,12 +38,13 @@ from pyspark.sql import types as T
 from tidewire.llm import bytescan
 from tidewire.llm.batches import small_batches
 from tidewire.llm.sampling import attached, thinned
+from tidewire.session import staged
 
 STEMS = (4, 5, 6, 7, 8)
 #: Lexicon voters and classifier features at most: the strongest by their counts.
 VOTERS = 500
 FEATURES = 4000
-#: Documents that the label model and the classifier are fitted on.
+#: Labelled texts that terms are counted in, half of each class, and patterns of documents that the models are fitted on, at most about.
 SAMPLE = 20_000
 #: Lower bounds (95 %, Wilson) of a term's share of toxic documents: to be a lexicon voter, to be a feature.
 VOTER_SHARE = 0.65
@@ -134,7 +137,7 @@ class Model(NamedTuple):
 
 
 def _votes(voters: np.ndarray, features: np.ndarray):
-    """Per document of the sample: the voters that say toxic, the pattern votes, the features present."""
+    """Per document: the voters that say toxic, the pattern votes, the features present."""
 
     def listed(pairs: tuple[np.ndarray, np.ndarray], count: int) -> pa.Array:
         cuts = np.searchsorted(pairs[0], np.arange(count + 1)).astype(np.int32)
@@ -153,8 +156,9 @@ def _votes(voters: np.ndarray, features: np.ndarray):
     return run
 
 
-def label_model(votes: np.ndarray, share: float, rounds: int = 25) -> np.ndarray:
-    """Posterior of toxic per document from votes in {-1, 0, 1}, correlated voters counted once; `share`: the class balance."""
+def label_model(votes: np.ndarray, share: float, rounds: int = 25, weight: np.ndarray | None = None) -> np.ndarray:
+    """Posterior of toxic per row from votes in {-1, 0, 1}, correlated voters counted once; `share`: the class balance; `weight`: documents per row."""
+    weight = np.ones(len(votes)) if weight is None else weight
     prior = np.clip(share, 1e-3, 1 - 1e-3)
     speaks = np.concatenate([votes == 1, votes == -1], axis=1)
     speaks = speaks[:, speaks.any(axis=0)].astype(np.float32)
@@ -163,11 +167,11 @@ def label_model(votes: np.ndarray, share: float, rounds: int = 25) -> np.ndarray
     discount = np.ones(speaks.shape[1])
     for step in range(rounds):
         p = posterior.astype(np.float32)
-        total, toxic = p.sum(), p @ speaks
-        here = (toxic + 0.05) / (total + 0.1)  # how often a voter speaks on toxic and on clean documents
-        there = (speaks.sum(axis=0) - toxic + 0.05) / (len(p) - total + 0.1)
+        bad, good = weight * posterior, weight * (1 - posterior)
+        here = (bad.astype(np.float32) @ speaks + 0.05) / (float(bad.sum()) + 0.1)  # how often a voter speaks on toxic and on clean documents
+        there = (good.astype(np.float32) @ speaks + 0.05) / (float(good.sum()) + 0.1)
         if step == rounds // 2:  # correlations left within the classes, once the classes are settled
-            rest = speaks - (p[:, None] * here + (1 - p[:, None]) * there)
+            rest = (speaks - (p[:, None] * here + (1 - p[:, None]) * there)) * np.sqrt(weight).astype(np.float32)[:, None]
             scale = np.sqrt((rest * rest).sum(axis=0)) + 1e-6
             alike = (rest.T @ rest) / scale[:, None] / scale[None, :]
             discount = 1 / (alike > COPIES).sum(axis=1).clip(min=1)
@@ -177,14 +181,14 @@ def label_model(votes: np.ndarray, share: float, rounds: int = 25) -> np.ndarray
     return posterior
 
 
-def logistic(rows: list[np.ndarray], count: int, target: np.ndarray, ridge: float = 0.02, steps: int = 500, pace: float = 0.5) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic regression on binary sparse rows with soft targets; each weight has a pace of its own."""
+def logistic(rows: list[np.ndarray], count: int, target: np.ndarray, weight: np.ndarray, ridge: float = 0.02, steps: int = 500, pace: float = 0.5) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic regression on binary sparse rows with soft targets; `weight`: documents per row; each coefficient has a pace of its own."""
     flat = np.concatenate(rows).astype(np.int64)
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     weights, past = np.zeros(count + 1), np.full(count + 1, 1e-8)  # the last one is the bias
     for _ in range(steps):
         margin = np.bincount(owner, weights=weights[flat], minlength=len(rows)) + weights[count]
-        error = 1 / (1 + np.exp(-np.clip(margin, -30, 30))) - target
+        error = weight * (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - target)
         slope = np.append(np.bincount(flat, weights=error[owner], minlength=count) + ridge * weights[:count], error.sum())
         past += slope * slope
         weights = weights - pace * slope / np.sqrt(past)
@@ -220,16 +224,26 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     features = np.sort(np.array([r["term"] for r in ranked], dtype=np.int64).view(_U64))
     lexicon = [r["term"] for r in ranked if r["bound"] >= VOTER_SHARE][:VOTERS]
     voters = np.sort(np.array(lexicon, dtype=np.int64).view(_U64))
-    plain = thinned(rows.where("doc_id is not null"), "doc_id", SAMPLE, rows.count())
-    sample = plain.select("text").mapInArrow(_votes(voters, features), "said array<int>, patterns array<int>, shown array<int>").collect()
-    if not sample:
+    # every document is read; documents that look alike to the model are one pattern, those without any feature among them
+    read = rows.where("doc_id is not null").select("text").mapInArrow(_votes(voters, features), "said array<int>, patterns array<int>, shown array<int>")
+    patterns = staged(read.groupBy("said", "patterns", "shown").agg(F.count("*").alias("n")).withColumn("pattern", F.xxhash64("said", "patterns", "shown")), "patterns")
+    many = patterns.count()
+    if not many:
         return Model(np.zeros(0, _U64), np.zeros(0), float(np.log(share / (1 - share))))
+    # the commonest are all in; each one drawn from the rest stands for several
+    common = patterns.orderBy(F.desc("n"), "pattern").limit(SAMPLE // 2).collect()
+    last, rest = (common[-1]["n"], common[-1]["pattern"]), many - len(common)
+    drawn = thinned(patterns.where((F.col("n") < last[0]) | ((F.col("n") == last[0]) & (F.col("pattern") > last[1]))), "pattern", SAMPLE // 2, rest).collect() if rest else []
+    sample = [*common, *drawn]
+    weight = np.array([r["n"] for r in sample], dtype=float)
+    if drawn:
+        weight[len(common) :] *= rest / len(drawn)
     votes = np.zeros((len(sample), len(voters) + 4), dtype=np.int8)
     for k, row in enumerate(sample):
         votes[k, row["said"]] = 1
         votes[k, len(voters) :] = row["patterns"]
-    posterior = label_model(votes, share)
-    weights, bias = logistic([np.array(r["shown"], dtype=np.int64) for r in sample], len(features), posterior)
+    posterior = label_model(votes, share, weight=weight)
+    weights, bias = logistic([np.array(r["shown"], dtype=np.int64) for r in sample], len(features), posterior, weight)
     return Model(features, weights, bias)
 
 
