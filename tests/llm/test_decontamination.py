@@ -60,6 +60,19 @@ def test_random_repeats(spark, monkeypatch):
     assert got(frame, table(spark, items)) == expected
 
 
+def test_one_block_at_a_time(spark, monkeypatch):
+    """Each pass is finished, and its block let go, before the next block is fetched."""
+    docs, items = [(1, "a b c d e f g"), (2, "x y z")], [(k, t) for k, t in enumerate(["a b c", "e f g", "y z", "q"])]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 6)
+    sizes, build = [], decontamination.test_block
+    monkeypatch.setattr(decontamination, "test_block", lambda rows, width: sizes.append(len(rows)) or build(rows, width))
+    found = decontamination.report(frame, table(spark, items).coalesce(1))
+    assert len(sizes) > 1 and sum(sizes) == len(items)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in found.collect()), key=repr) == brute(docs, items)
+
+
 def test_longest_match_and_place(spark):
     rng = random.Random(9)
     item = awkward.sentence(rng, 40).split(" ")

@@ -8,8 +8,10 @@ suffixes that begin with the same window gives all its occurrences. Only runs of
 the benchmark has, long enough for its shortest window, enter the array: no other suffix can
 match. A document never leaves its row, so nothing is shuffled; one row per document comes out.
 
-The benchmark is read in blocks of at most BLOCK_BYTES of text, one broadcast and one pass per
-block, whatever its size; the pass adds to what the row has gathered from earlier blocks.
+The benchmark is numbered into blocks of BLOCK_BYTES of text (the row that reaches past the end
+included) by running sums in Spark. There is one broadcast and one pass per block, whatever their
+number: only one block is fetched and held at a time, each pass but the last is written to the
+shared folder, and it adds to what the row has gathered from earlier blocks.
 
 Defined results: a null or empty text, or one without words, has no words and is clean; an item
 without words has no window; a null item_id hits documents but is not listed; items that share
@@ -24,12 +26,13 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewire.llm import bytescan
 from tidewire.llm.batches import packed
+from tidewire.session import staged, unstage
 
 WINDOW = 10
 #: Benchmark text that one pass searches for: bounds what is broadcast.
@@ -249,17 +252,23 @@ def _searcher(shared, kind: pa.DataType, first: bool):
     return run
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple]]:
-    """The benchmark's rows, a bounded number of bytes at a time."""
-    rows, size = [], 0
-    for row in benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).toLocalIterator():
-        rows.append((row["item_id"], row["text"]))
-        size += len(row["text"] or "") + 1
-        if size > BLOCK_BYTES:
-            yield rows
-            rows, size = [], 0
-    if rows:
-        yield rows
+def _numbered(benchmark: DataFrame) -> DataFrame:
+    """item_id, text and the number of the block that each row begins in, by the bytes of the rows before it."""
+    text = F.col("text").cast("string")
+    rows = staged(
+        benchmark.select(
+            F.col("item_id").cast("string").alias("item_id"), text.alias("text"),
+            (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
+            F.spark_partition_id().alias("slice"), F.monotonically_increasing_id().alias("nth"),
+        ),
+        "benchmark",
+    )
+    # running sums of numbers alone: within each slice, then over the sums of the slices
+    before = Window.partitionBy("slice").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)  # one row per slice
+    offsets = rows.groupBy("slice").agg(F.sum("size").alias("size")).select("slice", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("offset"))
+    places = rows.select("slice", "nth", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("before")).join(F.broadcast(offsets), "slice")
+    return rows.join(places.select("nth", F.floor((F.col("offset") + F.col("before")) / BLOCK_BYTES).alias("block")), "nth").select("block", "nth", "item_id", "text")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -269,10 +278,20 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
     spark = docs.sparkSession
     kind = to_arrow_type(FOUND)
     out = packed(docs)
-    schema, first = T.StructType([*out.schema.fields, T.StructField("found", FOUND)]), True
-    for rows in [*_blocks(benchmark)] or [[]]:
-        shared = spark.sparkContext.broadcast(test_block(rows, window))
-        out, first = out.mapInArrow(_searcher(shared, kind, first), schema), False
+    schema = T.StructType([*out.schema.fields, T.StructField("found", FOUND)])
+    numbered = staged(_numbered(benchmark), "blocks")
+    blocks = sorted(r["block"] for r in numbered.select("block").distinct().collect()) or [None]
+    past = None
+    for k, block in enumerate(blocks):
+        rows = [] if block is None else numbered.where(F.col("block") == block).orderBy("nth").collect()
+        shared = spark.sparkContext.broadcast(test_block([(r["item_id"], r["text"]) for r in rows], window))
+        out = out.mapInArrow(_searcher(shared, kind, k == 0), schema)
+        if k + 1 < len(blocks):  # the pass is finished before the next block is fetched
+            out = staged(out, "pass")
+            shared.destroy()
+            if past is not None:
+                unstage(past)
+            past = out
     return out
 
 
