@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from tidewire.llm import url_reputation
 from tidewire.llm.queries import URL_RULES
 
@@ -44,6 +46,15 @@ def test_bad_hosts_are_blocked_and_others_shrunk(spark):
     assert verdict["unseen.y.net"]["bound"] < verdict["many.y.net"]["bound"]
 
 
+def test_outcomes_of_the_document_that_a_page_holds(spark):
+    """Page ids and document ids run apart: the number in the path names the labelled document."""
+    rows = [(k, f"x://{'bad' if k < 40 else 'good'}.com/en/{79 - k}") for k in range(80)]
+    known = labels(spark, [(79 - k, int(k >= 40), 0) for k in range(80)])
+    number = F.regexp_extract("url", "/([0-9]+)$", 1).try_cast("long")
+    found = {r["host"]: r["verdict"] for r in url_reputation.judge(pages(spark, rows), known, [], document=number).collect()}
+    assert found == {"bad.com": "block", "good.com": "allow"}
+
+
 def test_awkward_labels(spark):
     rows = [(1, "x://a/"), (2, "x://a/"), (3, "x://b/")]
     known = [(1, 1, None), (1, 0, 0), (2, None, 1), (None, 0, 1), (3, None, None), (7, 0, 0)]

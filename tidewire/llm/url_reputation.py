@@ -1,6 +1,6 @@
 """URL filters by empirical-Bayes host reputation, with rules in front.
 
-A page with a label has an outcome: good unless its quality is 0 or it is toxic. Outcomes are
+A page that holds a labelled document has an outcome: good unless its quality is 0 or it is toxic. Outcomes are
 counted per host; the share of good pages is shrunk from level to level through beta-binomial
 priors: a suffix towards all pages, a registered domain towards its suffix, a host towards its
 domain. The strength of each level's prior is estimated from how much more the counts of that
@@ -96,15 +96,19 @@ def outcomes(labels: DataFrame) -> DataFrame:
 
 
 def reputations(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """host, mean, bound and the number of all outcomes, for every host of pages(page_id, host)."""
-    counted = pages.select("page_id", "host").join(outcomes(labels), "page_id", "left").groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("k"))
+    """host, mean, bound and the number of all outcomes, for every host of pages(document, host)."""
+    counted = pages.select(F.col("document").alias("page_id"), "host").join(outcomes(labels), "page_id", "left").groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("k"))
     return pages.sparkSession.sql(REPUTATION.replace(" from hosts", " from {hosts}"), hosts=staged(counted, "hosts"))
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules: list[Rule], limit: float = LIMIT) -> DataFrame:
-    """page_id, host, path, rule, verdict and the host's posterior mean and bound, for every row of pages(page_id, url)."""
+def judge(pages: DataFrame, labels: DataFrame, rules: list[Rule], limit: float = LIMIT, document: Column | None = None) -> DataFrame:
+    """page_id, host, path, rule, verdict and the host's posterior mean and bound, for every row of pages(page_id, url).
+
+    `document`: id of the labelled document that a page holds, from the columns of pages; its page_id unless given.
+    """
+    document = (F.col("page_id") if document is None else document).cast("long")
     host, path = host_and_path(F.col("url").cast("string"))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), document.alias("document"), host.alias("host"), path.alias("path"))
     known = reputations(rows, labels)
     ruled = rows.withColumn("ruled", winning_rule(F.col("host"), F.col("path"), rules))
     own = F.when((F.col("outcomes") == 0) | (F.col("bound") >= limit), "allow").otherwise("block")
