@@ -37,10 +37,25 @@ def near(a, b):
     return len(b) == len(a) + 1 and any(b[:k] + b[k + 1 :] == a for k in range(len(b)))
 
 
+def candidates(words):
+    """The words that share all but one letter at some place, or that are the rest without it; very long words meet all."""
+    shared, long = {}, [w for w in words if len(w) > 100]
+    for w in words:
+        for k in range(len(w) if len(w) <= 100 else 0):
+            shared.setdefault((k, w[:k] + w[k + 1 :]), []).append(w)
+            shared.setdefault((-1, w[:k] + w[k + 1 :]), []).append(w)
+    for w in words:
+        if len(w) > 100:
+            yield w, set(words)
+            continue
+        rests = [w[:k] + w[k + 1 :] for k in range(len(w))]
+        yield w, {*long, *shared.get((-1, w), ()), *(v for k, r in enumerate(rests) for v in shared[k, r]), *(r for r in rests if r in words)}
+
+
 def brute(words):
     out = {}
-    for w, n in words.items():
-        around = [v for v in words if abs(len(v) - len(w)) <= 1 and near(w, v)]
+    for w, some in candidates(words):
+        n, around = words[w], [v for v in some if abs(len(v) - len(w)) <= 1 and near(w, v)]
         form = min(around, key=lambda v: (-words[v], v), default=None)
         out[w] = (form if form and words[form] >= 5 * n else None, n, len(around))
     rows = []
@@ -77,7 +92,9 @@ def collected(df):
 @pytest.mark.parametrize("leaf", [40, spelling.LEAF])
 def test_noisy_words(spark, leaf):
     rows = noisy(3)
-    expected = brute(counted(rows))
+    words = counted(rows)
+    expected = brute(words)
+    assert [r[4] for r in expected] == [sum(near(w, v) for v in words) for w in sorted(words)]
     assert collected(spelling.variants(spark.createDataFrame(rows, "doc_id long, text string"), leaf=leaf)) == expected
     assert len(expected) > 200 and sum(r[1] is not None for r in expected) > 50
 
