@@ -22,7 +22,7 @@ def test_sql(spark, name):
 
 
 def test_one_query_per_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == [*range(1, 11), 12, 13]
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
 
 
 def test_pipeline_equals_brute_force(spark):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import bpe, checking_sql, decontamination, embedding_dedup, fill_in_middle, language_id, line_dedup, minhash_dedup, quality, sharding, spelling, toxicity, url_reputation
+from tidewire.llm import bpe, checking_sql, decontamination, embedding_dedup, fill_in_middle, language_id, line_dedup, lm_scoring, minhash_dedup, quality, sharding, spelling, toxicity, url_reputation
 from tidewire.llm.sampling import remainder
 from tidewire.sources.tables import spread
 
@@ -116,6 +116,15 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=4)
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents."""
+    docs = table(spark, sf_dir, "documents")
+    language, counts = lm_scoring.fit(docs.where(remainder(10) != 0), vocabulary())
+    scored = lm_scoring.score(docs, language, counts)
+    held_out = F.coalesce(remainder(10) == 0, F.lit(False)).alias("held_out")
+    return scored.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_subwords")
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forms and roots of the words of all documents."""
     return spelling.variants(table(spark, sf_dir, "documents"))
@@ -128,7 +137,7 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     first = (op1_quality, op2_sharding, op3_bpe, op4_decontamination, op5_line_dedup, op6_toxicity, op7_language_id, op8_url_reputation, op9_embedding_dedup, op10_minhash)
-    return {f.__name__: f for f in (*first, op12_spelling, op13_fill_in_middle)}
+    return {f.__name__: f for f in (*first, op11_lm_scoring, op12_spelling, op13_fill_in_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
