@@ -75,3 +75,63 @@ def test_no_python_in_the_plan(spark):
     with redirect_stdout(text):
         url_reputation.judge(pages(spark, [(1, "x://a/")]), labels(spark, [(1, 1, 0)]), URL_RULES).explain(True)
     assert not any(word in text.getvalue() for word in ("Python", "Arrow", "Pandas"))
+
+
+def plain_reputation(counts, suffixes):
+    """Mean and bound of each host from its (n, k), by dictionaries."""
+    def names(host):
+        name = host.rpartition("@")[2]
+        head, colon, port = name.rpartition(":")
+        name = head if colon and port.isdigit() or colon and not port else name
+        digits = name.split(".")
+        if name.startswith("[") or len(digits) == 4 and all(d.isdigit() for d in digits):
+            return name, "[address]"
+        suffix = max((s for s in suffixes if name == s or name.endswith("." + s)), key=len, default=name.rpartition(".")[2])
+        rest = name[: -len(suffix)].rstrip(".") if name != suffix else ""
+        return (rest.rpartition(".")[2] + "." + suffix if rest else name), suffix
+
+    def shrunk(level, prior):
+        spread = sum((k - n * prior[x]) ** 2 - n * prior[x] * (1 - prior[x]) for x, (n, k) in level.items() if n)
+        room = sum(n * (n - 1) * prior[x] * (1 - prior[x]) for x, (n, k) in level.items() if n)
+        share = spread / room if room else 0.5
+        m = 1 / max(1 / 10001, min(0.5, share)) - 1
+        return {x: ((k + m * prior[x]) / (n + m), n + m) for x, (n, k) in level.items()}
+
+    def added(key):
+        out = {}
+        for host, (n, k) in counts.items():
+            old = out.get(key(host), (0, 0))
+            out[key(host)] = (old[0] + n, old[1] + k)
+        return out
+
+    everything = (sum(k for _, k in counts.values()) + 1) / (sum(n for n, _ in counts.values()) + 2)
+    suffix_counts, domain_counts = added(lambda h: names(h)[1]), added(lambda h: names(h)[0])
+    parent = dict(names(h) for h in counts)
+    by_suffix = shrunk(suffix_counts, dict.fromkeys(suffix_counts, everything))
+    by_domain = shrunk(domain_counts, {d: by_suffix[parent[d]][0] for d in domain_counts})
+    by_host = shrunk(counts, {h: by_domain[names(h)[0]][0] for h in counts})
+    return {h: (m, m - url_reputation.DEVIATIONS * (m * (1 - m) / (w + 1)) ** 0.5) for h, (m, w) in by_host.items()}
+
+
+def test_mean_and_bound_against_plain_python(spark):
+    import random
+
+    draw = random.Random(5)
+    hosts = ["a.x.co.uk", "b.x.co.uk", "x.co.uk", "y.co.uk", "co.uk", "me:pw@y.co.uk:80", "10.0.0.1", "10.0.0.1:8080", "[::1]:9", "10.0.0", "u.github.io", "v.github.io", "a.z.com", "b.z.com", "w.com", "fooco.uk", "localhost", ""]
+    rows, known, counts = [], [], {}
+    for host in hosts:
+        share, size = draw.random(), draw.randrange(0, 30)
+        good = [int(draw.random() < share) for _ in range(size)]
+        counts[host] = (size, sum(good))
+        for g in [*good, None]:
+            rows.append((len(rows), f"x://{host}/{len(rows)}"))
+            known += [] if g is None else [(rows[-1][0], g, 0)]
+    found = {r["host"]: (r["mean"], r["bound"]) for r in url_reputation.judge(pages(spark, rows), labels(spark, known), []).collect()}
+    wanted = plain_reputation(counts, url_reputation.SUFFIXES)
+    assert found.keys() == wanted.keys()
+    for host, (mean, bound) in wanted.items():
+        assert abs(found[host][0] - mean) < 1e-9 and abs(found[host][1] - bound) < 1e-9, host
+
+
+def test_suffixes_are_a_parameter():
+    assert "edu[.]test" in url_reputation.reputation_sql(("edu.test",))

@@ -50,11 +50,13 @@ def url_verdicts(rules, reputation: str, limit: float) -> str:
 with parsed as (
   select page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), '{_UPPER}', '{_LOWER}') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path
   from (select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages)
+), held as (
+  select host, try_cast(regexp_extract(path, '/([0-9]+)$', 1) as bigint) as doc_id from parsed
 ), outcomes as (
-  select doc_id as page_id, min(case when quality = 0 or toxic = 1 then 0 else 1 end) as good from labels
+  select doc_id, min(case when quality = 0 or toxic = 1 then 0 else 1 end) as good from labels
   where doc_id is not null and (quality is not null or toxic is not null) group by 1
 ), hosts as (
-  select host, count(good) as n, coalesce(sum(good), 0) as k from parsed left join outcomes using (page_id) group by 1
+  select host, count(good) as n, coalesce(sum(good), 0) as k from held left join outcomes using (doc_id) group by 1
 ), known as ({reputation}),
 rules(rule, rule_host, rule_path, verdict) as (values {listed}),
 fitting as (

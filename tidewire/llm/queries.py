@@ -101,8 +101,9 @@ URL_RULES = [
 
 
 def op8_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdicts on the urls of all pages."""
-    judged = url_reputation.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), URL_RULES)
+    """Verdicts on the urls of all pages; the number that ends a path is the id of the document that the page holds."""
+    number = F.regexp_extract(url_reputation.host_and_path(F.col("url"))[1], "/([0-9]+)$", 1).try_cast("long")
+    judged = url_reputation.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), URL_RULES, document=number)
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -143,7 +144,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_decontamination": checking_sql.DECONTAMINATION,
-        "op8_url_reputation": checking_sql.url_verdicts(URL_RULES, url_reputation.REPUTATION, url_reputation.LIMIT),
+        "op8_url_reputation": checking_sql.url_verdicts(URL_RULES, url_reputation.reputation_sql(), url_reputation.LIMIT),
         "op9_embedding_dedup": checking_sql.NEAR_VECTORS,
         "op13_fill_in_middle": checking_sql.FILL_IN_MIDDLE,
     }

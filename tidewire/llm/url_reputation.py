@@ -10,7 +10,9 @@ the only joins are by page id and by host, with counts aggregated before the shu
 
 Rules come first: a rule has a host and a path, fits that host and its subdomains where the path
 of the url starts with the rule's, and of several fitting rules the longest wins (block, if two are
-as long). The suffix of a host is its last label, its registered domain the last two.
+as long). For reputations a host loses its user and port; its suffix is the longest of a given list
+that ends it (else its last label), its registered domain one label more. An address in numbers is a
+domain of its own, and all such addresses share one suffix.
 
 Defined results: a url that is null or has no `://` has an empty host and path, which count as a
 host of their own; labels that are null on both counts say nothing; several labels of one page
@@ -30,6 +32,8 @@ from tidewire.session import staged
 LIMIT = 0.5
 #: Standard deviations below the posterior mean: a one-sided bound of 95 %.
 DEVIATIONS = 1.645
+#: Suffixes of several labels under which unrelated owners register; a user passes a longer list.
+SUFFIXES = ("ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "github.io", "gov.uk", "org.au", "org.uk")
 
 
 class Rule(NamedTuple):
@@ -51,10 +55,19 @@ def _strength(level: str) -> str:
       sum((k - n * prior) * (k - n * prior) - n * prior * (1 - prior)) / nullif(sum(n * (n - 1) * prior * (1 - prior)), 0), 0.5e0))) - 1 from {level} where n > 0)"""
 
 
-#: Posterior bound of every row of a table `hosts` (host, n, k); the same text runs in other SQL engines.
-REPUTATION = f"""
-with named as (
-  select host, n, k, regexp_extract(host, '([^.]*[.])?[^.]*$', 0) as domain, regexp_extract(host, '[^.]*$', 0) as suffix from hosts
+def reputation_sql(suffixes: tuple[str, ...] = SUFFIXES) -> str:
+    """Posterior mean and bound of every row of a table `hosts` (host, n, k); the same text runs in other SQL engines."""
+    # the leftmost match is the longest suffix
+    ends = "|".join([x.replace(".", "[.]") for x in suffixes] + ["[^.]*"])
+    return f"""
+with plain as (
+  select host, n, k, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') as name from hosts
+), marked as (
+  select *, case when substr(name, 1, 1) = '[' then name else regexp_extract(name, '^[0-9]+([.][0-9]+){{3}}$', 0) end as address from plain
+), named as (
+  select host, n, k, case when address <> '' then address else regexp_extract(name, '([^.]*[.])?({ends})$', 0) end as domain,
+    case when address <> '' then '[address]' else regexp_extract(name, '(^|[.])({ends})$', 2) end as suffix
+  from marked
 ), suffixes as (
   select suffix, sum(n) as n, sum(k) as k, max(p) as prior
   from named, (select (sum(k) + 1e0) / (sum(n) + 2e0) as p from named) as everything group by suffix
@@ -95,13 +108,13 @@ def outcomes(labels: DataFrame) -> DataFrame:
     return labels.select(F.col("doc_id").cast("long").alias("page_id"), good.alias("good")).where("good is not null and page_id is not null").groupBy("page_id").agg(F.min("good").alias("good"))
 
 
-def reputations(pages: DataFrame, labels: DataFrame) -> DataFrame:
+def reputations(pages: DataFrame, labels: DataFrame, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """host, mean, bound and the number of all outcomes, for every host of pages(document, host)."""
     counted = pages.select(F.col("document").alias("page_id"), "host").join(outcomes(labels), "page_id", "left").groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("k"))
-    return pages.sparkSession.sql(REPUTATION.replace(" from hosts", " from {hosts}"), hosts=staged(counted, "hosts"))
+    return pages.sparkSession.sql(reputation_sql(suffixes).replace("{", "{{").replace("}", "}}").replace(" from hosts", " from {hosts}"), hosts=staged(counted, "hosts"))
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules: list[Rule], limit: float = LIMIT, document: Column | None = None) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, rules: list[Rule], limit: float = LIMIT, document: Column | None = None, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """page_id, host, path, rule, verdict and the host's posterior mean and bound, for every row of pages(page_id, url).
 
     `document`: id of the labelled document that a page holds, from the columns of pages; its page_id unless given.
@@ -109,7 +122,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[Rule], limit: float =
     document = (F.col("page_id") if document is None else document).cast("long")
     host, path = host_and_path(F.col("url").cast("string"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), document.alias("document"), host.alias("host"), path.alias("path"))
-    known = reputations(rows, labels)
+    known = reputations(rows, labels, suffixes)
     ruled = rows.withColumn("ruled", winning_rule(F.col("host"), F.col("path"), rules))
     own = F.when((F.col("outcomes") == 0) | (F.col("bound") >= limit), "allow").otherwise("block")
     return ruled.join(known, "host").select(
