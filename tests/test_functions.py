@@ -1,6 +1,8 @@
 """Hand-worked rows for the column expressions."""
 
 import math
+import random
+import re
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -229,3 +231,69 @@ def test_properties(spark, values):
 @given(buckets=st.tuples(*[st.integers(0, 1000)] * 6))
 def test_entropy_range(spark, buckets):
     assert -1e-8 <= entropy(spark, buckets) <= math.log(6) + 1e-9
+
+
+def plain_parts(page, furniture):
+    """Page and article by a stack over tags, character by character marked hidden or inside."""
+    tag = re.compile(rf"</?({'|'.join((*furniture, 'article'))})(?:[\s/][^>]*)?>", re.I)
+    hidden, inside, stack = [False] * len(page), [False] * len(page), []
+    for m in tag.finditer(page):
+        name, closing = m[1].lower(), m[0].startswith("</")
+        if not closing:
+            stack.append((name, m.end()))
+        elif name in [n for n, _ in stack]:
+            while True:
+                top, start = stack.pop()
+                for i in range(start, m.start()):
+                    hidden[i] |= top != "article"
+                    inside[i] |= top == "article"
+                if top == name:
+                    break
+    for name, start in stack:
+        for i in range(start, len(page)):
+            inside[i] |= name == "article"
+    bare = [False] * len(page)
+    for m in tag.finditer(page):
+        bare[m.start() : m.end()] = [True] * (m.end() - m.start())
+    words = [[c if not h and not b else " " for c, h, b in zip(page, hidden, bare)], [c if not h and not b and a else " " for c, h, b, a in zip(page, hidden, bare, inside)]]
+    return tuple("".join(w).split() for w in words)
+
+
+def test_nested_elements_against_a_stack(spark):
+    draw = random.Random(3)
+    names = ("nav", "aside", "form", "footer", "article", "NAV", "Article")
+    pages = [
+        "<article>A<article>c</article>B</article>",
+        "<nav>a<nav>b</nav>tail</nav>text",
+        "<aside>x<form>y</aside>z</form> w",
+        "<article>a<nav>m</article>b</nav>c",
+        "<nav>never closed <article>kept",
+        "<navigation>no tag</navigation><aside/>open",
+        "</nav></article>stray",
+        "",
+    ]
+    for _ in range(300):
+        parts = []
+        for k in range(draw.randrange(14)):
+            name = draw.choice(names)
+            parts += [draw.choice(("<%s>", "<%s class='x'>", "</%s>", "</%s >")) % name, f" w{k} "]
+        pages.append("".join(parts))
+    rows = spark.createDataFrame(list(enumerate([*pages, None])), "id int, html string")
+    found = {r["id"]: r["p"] for r in rows.select("id", html.visible_parts(F.col("html"), html.FURNITURE).alias("p")).collect()}
+    assert found[len(pages)] is None
+    for i, page in enumerate(pages):
+        wanted = plain_parts(page, html.FURNITURE)
+        assert (found[i]["page"].split(), found[i]["article"].split()) == wanted, page
+
+
+def test_main_text_of_nested_pages(spark):
+    cases = {
+        "<article>A<article>c</article>B</article>": "A c B",
+        "<article><p>one</p><aside>x<aside>y</aside>leak</aside><p>two</p></article>": "one two",
+        "<nav><article>teaser</article></nav><p>prose</p>": "prose",
+        "<form>f<nav>n</form></nav><p>after</p>": "after",
+        "<article>open <b>end</b>": "open end",
+    }
+    rows = spark.createDataFrame([(k,) for k in cases], "html string")
+    found = {r["html"]: r["t"] for r in rows.select("html", html.primary_text(F.col("html")).alias("t")).collect()}
+    assert found == cases
