@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidewire.operators import dedup, ordering, scaling, split, summaries
 from tidewire.operators.windows import SeriesOrder, row_sequences
 from tidewire.plans import market_panel as market
+from tidewire.sources import tables
 
 
 def day(i):
@@ -238,3 +239,16 @@ def test_value_counts(spark):
     rows = spark.createDataFrame([("a",), ("b",), ("a",), (None,)], "v string")
     found = {r["v"]: (r["n"], r["share"]) for r in summaries.value_counts(rows, "v").collect()}
     assert found == {"a": (2, 0.5), "b": (1, 0.25), None: (1, 0.25)}
+
+
+def test_counters_of_a_write(spark, tmp_path):
+    rows = spark.range(1000).select("id", (F.col("id") % 3).alias("k"), F.when(F.col("id") % 7 != 0, F.col("id") % 2).alias("odd"))
+    counts = {"odd": F.col("odd") == 1, "none": F.lit(False), "unknown": F.col("odd").isNull()}
+    for shuffled in (rows, rows.repartition(5, "id")):
+        for by in ([], ["k"]):
+            found = tables.write_counted(shuffled, str(tmp_path / "out"), counts, by)
+            back = spark.read.parquet(str(tmp_path / "out"))
+            assert found == {"rows": 1000, "odd": back.filter("odd = 1").count(), "none": 0, "unknown": back.filter("odd is null").count()}
+    assert tables.write_counted(rows.limit(0), str(tmp_path / "empty"), counts) == dict.fromkeys(("rows", *counts), 0)
+    with pytest.raises(ValueError, match="rows"):
+        tables.write_counted(rows, str(tmp_path / "bad"), {"rows": F.lit(True)})

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -98,6 +98,26 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), mo
     df.write.mode(mode).partitionBy(*partition_by).parquet(path)
 
 
+def write_counted(
+    df: DataFrame, path: str, counts: Mapping[str, Column], partition_by: Sequence[str] = (), mode: str = "overwrite"
+) -> dict[str, int]:
+    """Write rows as ``write_parquet`` does and return how many met each condition, without a second pass.
+
+    The counters are observed in the very tasks that write, behind every shuffle, where
+    Spark takes the first finished attempt of a task and no other. A condition that is
+    null does not count. ``rows`` is the name of the counter of all rows.
+    """
+    if "rows" in counts:
+        raise ValueError("rows is the name of the counter of all rows")
+    seen = Observation()
+    measures = [F.count(F.lit(1)).alias("rows"), *(F.count_if(c).alias(name) for name, c in counts.items())]
+    if partition_by:
+        df = df.hint("rebalance", *partition_by)
+    df.observe(seen, *measures).write.mode(mode).partitionBy(*partition_by).parquet(path)
+    found = seen.get
+    return {name: int(found.get(name) or 0) for name in ("rows", *counts)}
+
+
 def write_outputs(parent: DataFrame, path: str, outputs: Mapping[str, Callable[[DataFrame], DataFrame]], as_csv: Sequence[str] = ()) -> None:
     """Several tables from one parent, which is computed once: each goes to a folder of its name.
 

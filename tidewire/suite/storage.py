@@ -182,3 +182,17 @@ def url_sample(spark, sf_dir):
     )
     kept = tables.load_url_sample(pages, "page_id", 2024, 2024)
     return kept.select("page_id", "year", "news_date", "url_norm", "domain")
+
+
+@query(f"""
+with {_TODO_CTE}
+select unnest(['rows', 'secure', 'rooted', 'early']) as counter, unnest([count(*), count(*) filter (where starts_with(url_norm, 'https')),
+  count(*) filter (where ends_with(url_norm, '/')), count(*) filter (where news_date < '2024-01-16')]) as n
+from todo
+""")
+def counted_write(spark, sf_dir):
+    """Counters taken by the tasks that write the day folders."""
+    url = F.col("url_norm")
+    conditions = {"secure": url.startswith("https"), "rooted": url.endswith("/"), "early": F.col("news_date") < "2024-01-16"}
+    found = tables.write_counted(_todo(spark, sf_dir), stage_path(spark, "counted"), conditions, ["news_date"])
+    return spark.createDataFrame(list(found.items()), "counter string, n bigint")
