@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidewire.operators import dedup, ordering, scaling, split, summaries
+from tidewire.operators import dedup, ordering, scaling, sketches, split, summaries
 from tidewire.operators.windows import SeriesOrder, row_sequences
 from tidewire.plans import market_panel as market
 from tidewire.sources import tables
@@ -252,3 +252,34 @@ def test_counters_of_a_write(spark, tmp_path):
     assert tables.write_counted(rows.limit(0), str(tmp_path / "empty"), counts) == dict.fromkeys(("rows", *counts), 0)
     with pytest.raises(ValueError, match="rows"):
         tables.write_counted(rows, str(tmp_path / "bad"), {"rows": F.lit(True)})
+
+
+def test_sketched_quantiles_by_rank(spark, tmp_path):
+    draw = np.random.default_rng(8)
+    values = np.round(draw.lognormal(size=60000), 2)
+    days = np.where(np.arange(60000) % 3 == 0, 0, np.arange(60000) % 30)  # a third on one day
+    rows = spark.createDataFrame(pd.DataFrame({"day": days, "v": values}))
+    awkward = spark.createDataFrame([(31, None), (31, float("nan")), (32, 5.0)], "day long, v double")
+    path = str(tmp_path / "sketches")
+    sketches.sketched(rows.filter("day < 20"), "v", ["day"]).write.parquet(path)
+    sketches.sketched(rows.filter("day >= 20").union(awkward), "v", ["day"]).write.mode("append").parquet(path)
+    stored = spark.read.parquet(path)
+    shares = {"low": 0.05, "mid": 0.5, "high": 0.95}
+
+    def close(found, of):
+        ordered = np.sort(of)
+        assert found["n"] == len(of)
+        for name, share in shares.items():
+            first, last = np.searchsorted(ordered, found[name], "left"), np.searchsorted(ordered, found[name], "right")
+            assert first / len(of) - 0.01 <= share <= last / len(of) + 0.01
+
+    per_day = {r["day"]: r for r in sketches.quantiles(stored, shares).collect()}
+    assert per_day.keys() == {*days.tolist(), 32}
+    for d in (0, 1, 20):
+        close(per_day[d], values[days == d])
+    assert (per_day[32]["n"], per_day[32]["mid"]) == (1, 5.0)
+    close(sketches.quantiles(sketches.merged(stored.filter("day < 32")), shares).first(), values)
+    tens = sketches.merged(stored.filter("day < 30"), [F.floor(F.col("day") / 10).alias("ten")])
+    for r in sketches.quantiles(tens, shares).collect():
+        close(r, values[days // 10 == r["ten"]])
+    assert sketches.sketched(awkward.limit(0), "v", ["day"]).count() == 0
