@@ -7,11 +7,13 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewire.operators import dedup, ordering, scaling, sketches, split, summaries
 from tidewire.operators.windows import SeriesOrder, row_sequences
 from tidewire.plans import market_panel as market
+from tidewire.plans import tail_models
 from tidewire.sources import tables
 
 
@@ -97,6 +99,28 @@ def test_sequences(spark):
     assert out[0]["sequence"] == [[1.0], [2.0], [3.0]]
 
 
+def test_chunked_sequences(spark):
+    rng = np.random.default_rng(4)
+    frame = pd.DataFrame({"k": ["long"] * 5000 + ["short"] * 7 + ["one"], "t": [*range(5000), *range(7), 0], "x": rng.normal(size=5008)})
+    rows, order = spark.createDataFrame(frame), SeriesOrder(("k",), ("t",))
+    for current in (False, True):
+        whole = row_sequences(rows, order, ["x", "t"], 6, current).orderBy("k", "t").toPandas()
+        cut = row_sequences(rows, order, ["x", "t"], 6, current, chunk_rows=64).orderBy("k", "t").toPandas()
+        pd.testing.assert_frame_equal(whole, cut[whole.columns])
+    with pytest.raises(ValueError):
+        row_sequences(rows, order, ["x"], 65, chunk_rows=64)
+
+
+def test_last_share_is_the_rank_of_the_row(spark):
+    frame = pd.DataFrame({"series_id": ["a"] * 101 + ["b"] * 6 + ["c"], "date": [*range(101), *range(6), 0]})
+    rows = spark.createDataFrame(frame)
+    place = F.percent_rank().over(Window.partitionBy("series_id").orderBy("date"))
+    wanted = rows.withColumn("last", place > 0.8).orderBy("series_id", "date").toPandas()
+    found = tail_models.last_share(rows, SeriesOrder(("series_id",), ("date",)), 0.2, "last").orderBy("series_id", "date").toPandas()
+    pd.testing.assert_frame_equal(wanted, found[wanted.columns])
+    assert found["last"].sum() == 21
+
+
 def test_quantiles(spark):
     rows = spark.createDataFrame([(1.0,), (2.0,), (4.0,), (9.0,), (None,)], "x double")
     found = ordering.exact_quantiles(rows, "x", {"a": 0.1, "b": 0.5, "c": 1.0, "d": 0.0}).first()

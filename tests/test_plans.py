@@ -1,8 +1,10 @@
 """Cleaning, extraction, signals, resume, streaming and models on small tables."""
 
 import datetime
+import math
 import subprocess
 import sys
+import zlib
 
 import numpy as np
 import pytest
@@ -116,6 +118,58 @@ def test_language(spark):
     assert found == {1: "en", 2: "fr", 3: "unknown", 4: "unknown"}
 
 
+def test_language_in_row(spark):
+    truth = spark.createDataFrame(
+        [("the cat and the dog", "en"), ("le chat et le chien", "fr"), ("the house", "en"), ("das Haus", "de"), (None, "en")],
+        "text string, lang string",
+    )
+    rows = spark.createDataFrame(
+        [(1, "The dog.", "x"), (2, "le chat", None), (3, "12 34", "x"), (4, "", "x"), (5, None, "x"), (6, "das", "x")],
+        "id int, text string, lang string",
+    )
+    for slot_of in (language.crc32_slot, language.md5_slot):
+        profile = language.fit_slots(truth, "text", "lang", ["en", "fr"], slot_of=slot_of)
+        assert profile.count() == 1 and profile.columns == ["en", "fr"]
+        scored = language.language_in_row(rows, "text", profile, slot_of, "found")
+        assert scored.columns == [*rows.columns, "found"]
+        found = {r["id"]: r["found"] for r in scored.collect()}
+        assert found == {1: "en", 2: "fr", 3: "unknown", 4: "unknown", 5: "unknown", 6: "unknown"}
+    none = language.fit_slots(truth.limit(0), "text", "lang", ["en", "fr"])
+    assert {r["lang"] for r in language.language_in_row(rows, "text", none).collect()} == {"unknown"}
+
+
+def test_language_in_row_by_brute_force(spark):
+    """Few slots, so that words share them; scores recomputed with dictionaries."""
+    slots, words = 64, ["der", "die", "the", "of", "le", "et", "été", "über", "cat", "chien", "hund", "zz"]
+    rng = np.random.default_rng(8)
+    data = [(i, " ".join(rng.choice(words, rng.integers(0, 9))), ["en", "fr", "de"][i % 3]) for i in range(120)]
+    frame = spark.createDataFrame(data, "id int, text string, lang string").repartition(5)
+    counts = {}
+    for _, value, lang in data:
+        for w in value.split():
+            cell = counts.setdefault(zlib.crc32(w.encode()) % slots, dict.fromkeys(["en", "fr", "de"], 0))
+            cell[lang] += 1
+    totals = {x: sum(c[x] for c in counts.values()) for x in ("en", "fr", "de")}
+    weight = {s: {x: round(math.log((c[x] + 1) / (totals[x] + len(counts))) * language.PARTS) for x in c} for s, c in counts.items()}
+    profile = language.fit_slots(frame, "text", "lang", ["en", "fr", "de"], slots)
+    kept = profile.first()
+    assert [kept["fr"][s] for s in range(slots)] == [weight.get(s, {}).get("fr", 0) for s in range(slots)]
+    plan_side = language.language_in_row(frame.select("id", "text"), "text", profile)
+    for row in plan_side.collect():
+        sums = {x: sum(weight[zlib.crc32(w.encode()) % slots][x] for w in row["text"].split()) for x in ("en", "fr", "de")}
+        assert row["lang"] == (max(sums, key=sums.get) if row["text"] else "unknown")
+
+
+def test_language_in_row_moves_no_texts(spark, tmp_path):
+    path = str(tmp_path / "texts")
+    spark.createDataFrame([(1, "the cat", "en"), (2, "le chat", "fr")], "id int, text string, lang string").write.parquet(path)
+    rows = spark.read.parquet(path)
+    profile = language.fit_slots(rows, "text", "lang", ["en", "fr"])
+    plan = language.language_in_row(rows.select("id", "text"), "text", profile)._jdf.queryExecution().executedPlan().toString()
+    main = plan.split("Subqueries")[0]
+    assert "Exchange" not in main and "Join" not in main and "Python" not in main
+
+
 def test_daily_signal_c(spark):
     flags = {c: F.lit(1) for c in fv.TOPIC_FLAGS}
     rows = spark.createDataFrame([("d1", 0.2), ("d1", 0.8), ("d2", 0.6)], "news_date string, climatebert_prob double")

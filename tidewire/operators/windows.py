@@ -61,11 +61,12 @@ def range_slices(df: DataFrame, series: SeriesOrder, name: str) -> DataFrame:
     return staged(dealt.withColumn(name, F.spark_partition_id()), "slices")
 
 
-def with_positions(df: DataFrame, series: SeriesOrder, name: str) -> DataFrame:
+def with_positions(df: DataFrame, series: SeriesOrder, name: str, length: str | None = None) -> DataFrame:
     """Number the rows of each series from 0 without sorting a series in one task.
 
     Rows are numbered inside slices of the order; the counts of earlier slices, one
-    row per series and slice, give the offset.
+    row per series and slice, give the offset. ``length`` names a column for the
+    number of rows of the series, which the same counts give.
     """
     keys = list(series.keys)
     tagged = range_slices(df, series, "_bucket")
@@ -73,7 +74,12 @@ def with_positions(df: DataFrame, series: SeriesOrder, name: str) -> DataFrame:
     offsets = (
         tagged.groupBy(*keys, "_bucket")
         .agg(F.count("*").alias("_rows"))
-        .select(*keys, "_bucket", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
+        .select(
+            *keys,
+            "_bucket",
+            F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"),
+            *([F.sum("_rows").over(Window.partitionBy(*keys)).alias(length)] if length else []),
+        )
     )
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*series.order)
     return (
@@ -126,11 +132,18 @@ def row_sequences(
     k: int,
     include_current: bool = False,
     name: str = "sequence",
+    chunk_rows: int | None = None,
 ) -> DataFrame:
     """The k rows before each row as one array of feature arrays.
 
-    Rows with fewer than k predecessors give no sample.
+    Rows with fewer than k predecessors give no sample. ``chunk_rows`` cuts a series
+    without a bound into chunks of that many rows; each borrows the k rows before it,
+    so the arrays are the same and no task holds the series.
     """
+    if chunk_rows:
+        return in_chunks(
+            df, series, k, 0, lambda rows, inner: row_sequences(rows, inner, features, k, include_current, name), chunk_rows
+        )
     last = 0 if include_current else -1
     frame = series.window().rowsBetween(last - k + 1, last)
     row = F.array(*[F.col(f).cast("double") for f in features])

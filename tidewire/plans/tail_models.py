@@ -15,7 +15,7 @@ from functools import reduce
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire import fixed_values as fv
@@ -23,7 +23,7 @@ from tidewire.functions import numeric
 from tidewire.operators.ordering import ranking_metrics
 from tidewire.operators.scaling import standardize, with_class_weight
 from tidewire.operators.split import contiguous_folds, split_by_date
-from tidewire.operators.windows import SeriesOrder, row_sequences
+from tidewire.operators.windows import SeriesOrder, row_sequences, with_positions
 from tidewire.plans.linear_fits import FitSpec, fit_together
 from tidewire.session import staged
 
@@ -258,22 +258,33 @@ def fit_lasso_path(
 
 def sequence_samples(
     table: DataFrame, features: Sequence[str], window: int, label: str = "target_tail", first_test: str = fv.MODEL_SPLIT,
-    include_current: bool = False,
+    include_current: bool = False, chunk_rows: int | None = None,
 ) -> DataFrame:
     """Scaled row windows as one flat vector per day.
 
     Scaling uses training rows; windows run over the whole table, so the first test
-    windows reach back into the training period.
+    windows reach back into the training period. ``chunk_rows`` is for series without
+    a bound, as in `row_sequences`.
     """
     whole = table.na.drop(subset=list(features))
     train = whole.filter(F.col("date") < F.lit(first_test).cast("date"))
     scaled = standardize(whole, train, features)
     order = SeriesOrder(("series_id",), ("date",))
     kept = scaled.select("series_id", "date", label, *features)
-    samples = row_sequences(kept, order, features, window, include_current)
+    samples = row_sequences(kept, order, features, window, include_current, chunk_rows=chunk_rows)
     return samples.select("series_id", "date", label, array_to_vector(F.flatten("sequence")).alias("features"))
 
 
+def last_share(df: DataFrame, series: SeriesOrder, share: float, name: str) -> DataFrame:
+    """Mark the last rows of each series, by their place from 0 to 1; no task sorts a whole series.
+
+    The order must be strict: no two rows of a series may tie.
+    """
+    placed = with_positions(df, series, "_place", "_length")
+    place = F.coalesce(F.try_divide(F.col("_place"), F.col("_length") - 1), F.lit(0.0))
+    return placed.withColumn(name, place > 1 - share).drop("_place", "_length")
+
+
 def fit_sequence_models(
     samples: DataFrame,
     label: str = "target_tail",
@@ -290,8 +301,7 @@ def fit_sequence_models(
     test rows. Returns ``seed, date, label, prob, n_train``.
     """
     train, test = split_by_date(samples, "date", first_test, last_test)
-    place = F.percent_rank().over(Window.partitionBy("series_id").orderBy("date"))
-    marked = train.withColumn("_validation", place > 1 - validation_share)
+    marked = last_share(train, SeriesOrder(("series_id",), ("date",)), validation_share, "_validation")
     weighted = with_class_weight(marked, label).withColumn("label", F.col(label).cast("double"))
     rows = weighted.persist()
 
