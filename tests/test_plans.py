@@ -160,6 +160,20 @@ def test_language_in_row_by_brute_force(spark):
         assert row["lang"] == (max(sums, key=sums.get) if row["text"] else "unknown")
 
 
+def test_cleaning_takes_the_language_from_the_row(spark):
+    truth = spark.createDataFrame([("the word lies here", "en"), ("le mot est ici", "fr")], "text string, lang string")
+    profile = language.fit_slots(truth, "text", "lang", ["en", "fr"])
+    rows = spark.createDataFrame(
+        [(1, "u1", long("word the"), True), (2, "u2", long("mot le"), True), (3, "u3", long("xyz"), True)],
+        "id int, url string, text string, extract_success boolean",
+    )
+    by_join = cleaning.clean_pass1(rows, "id", lambda r: language.language_in_row(r, "text_clean", profile).select("id", "lang"))
+    in_row = cleaning.clean_pass1(rows, "id", with_language=lambda r: language.language_in_row(r, "text_clean", profile))
+    found = [tuple(r) for r in in_row.orderBy("id").collect()]
+    assert found == [tuple(r) for r in by_join.orderBy("id").collect()]
+    assert [r["lang"] for r in in_row.orderBy("id").collect()] == ["en", "fr", "unknown"]
+
+
 def test_language_in_row_moves_no_texts(spark, tmp_path):
     path = str(tmp_path / "texts")
     spark.createDataFrame([(1, "the cat", "en"), (2, "le chat", "fr")], "id int, text string, lang string").write.parquet(path)

@@ -6,7 +6,8 @@ over the data on the driver.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +31,25 @@ def standardize(df: DataFrame, fit_on: DataFrame, columns: Sequence[str]) -> Dat
     return fitted.withColumns({c: scaled(c) for c in columns}).drop("_stats")
 
 
+@dataclass(frozen=True)
+class Scaler:
+    """Mean and population deviation per column, kept apart from the rows they were taken from."""
+
+    statistics: Mapping[str, tuple[float | None, float | None]]
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        """As `standardize`; a column that had no value becomes null."""
+        return df.withColumns(
+            {c: (F.col(c) - F.lit(mean).cast("double")) / F.lit(dev if dev != 0 else 1.0).cast("double") for c, (mean, dev) in self.statistics.items()}
+        )
+
+
+def fit_scaler(fit_on: DataFrame, columns: Sequence[str]) -> Scaler:
+    """The statistics of `standardize` as values, for models that outlive the session: one row comes to the driver."""
+    found = fit_on.agg(*[F.struct(F.avg(c), F.stddev_pop(c)).alias(c) for c in columns]).first()
+    return Scaler({c: tuple(found[c]) for c in columns})
+
+
 def fill_median(df: DataFrame, columns: Sequence[str], fit_on: DataFrame | None = None) -> DataFrame:
     """Replace missing values by the exact median of ``fit_on`` (default: all rows).
 

@@ -44,12 +44,14 @@ def clean_pass1(
     id_col: str,
     languages: Callable[[DataFrame], DataFrame] | None = None,
     min_chars: int = fv.MIN_CLEAN_CHARS,
+    with_language: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Clean, drop short texts, keep first per URL and per text, measure, flag English.
 
     Winners are found on ids and digests; only their rows are cleaned and measured, once.
-    ``languages`` maps the surviving rows to ``id_col, lang``; without it the table
-    must have a ``lang`` column. Tone is carried through when present.
+    ``languages`` maps the surviving rows to ``id_col, lang``, which are joined back;
+    ``with_language`` sets ``lang`` in the rows themselves and moves no text. Without
+    either the table must have a ``lang`` column. Tone is carried through when present.
     """
     usable = usable_extracts(df)
     cleaned = usable.withColumn("text_clean", text.clean_article(F.col("text")))
@@ -62,7 +64,9 @@ def clean_pass1(
     survivors = usable.join(winners, id_col, "left_semi")
     # written once: languages and flags read the cleaned texts, and none of them cleans again
     rows = staged(with_quality(survivors.withColumn("text_clean", text.clean_article(F.col("text")))), "survivors")
-    if languages is not None:
+    if with_language is not None:
+        rows = with_language(rows.drop("lang"))
+    elif languages is not None:
         rows = rows.drop("lang").join(languages(rows), id_col, "left")
         rows = rows.withColumn("lang", F.coalesce(F.col("lang"), F.lit("unknown")))
     english = text.is_english(F.col("lang"), F.col("latin_ratio"), F.col("quality_flag"))

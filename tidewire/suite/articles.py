@@ -9,7 +9,8 @@ from tidewire.functions import html, text, urls
 from tidewire.operators.dedup import first_ids
 from tidewire.plans import article_cleaning as cleaning
 from tidewire.plans import extraction, language
-from tidewire.session import staged
+from tidewire.session import stage_path, staged
+from tidewire.sources import models as stored
 from tidewire.suite import inputs
 from tidewire.suite.inputs import SQL_SPACE, sql_clean_article, sql_collapse, sql_strip
 from tidewire.suite.registry import query, r6, rounded, table, text_table
@@ -320,13 +321,13 @@ def extract_text(spark, sf_dir):
 @query()
 def article_pipeline(spark, sf_dir):
     """Pages through extraction and both cleaning passes; language from profiles."""
-    profiles = language.fit_profiles(text_table(spark, sf_dir, "documents", "doc_id"), "text", "lang", ["en", "fr", "de", "es"])
+    profile = language.fit_slots(text_table(spark, sf_dir, "documents", "doc_id"), "text", "lang", ["en", "fr", "de", "es"])
     pages = text_table(spark, sf_dir, "pages", "page_id").withColumns(
         {"url_norm": urls.normalize_url(F.col("url")), "domain": urls.domain_of(F.col("url"))}
     )
     extracted = staged(extraction.extract_text(pages), "extracted")
     first = cleaning.clean_pass1(
-        extracted, "page_id", lambda rows: language.detect_language(rows, "page_id", "text_clean", profiles)
+        extracted, "page_id", with_language=lambda rows: language.language_in_row(rows, "text_clean", profile)
     )
     second = cleaning.clean_pass2(staged(first, "cleaned").filter("is_english"), "page_id")
     return rounded(second.withColumn("text_clean", F.md5("text_clean")))
@@ -361,6 +362,16 @@ def detect_language(spark, sf_dir):
     return language.detect_language(documents, "doc_id", "text", profiles)
 
 
+@query(_sql_detect())
+def detect_language_by_stored_profiles(spark, sf_dir):
+    """The same languages by profiles that were saved and loaded."""
+    documents = text_table(spark, sf_dir, "documents", "doc_id")
+    path = stage_path(spark, "profiles")
+    stored.save_profiles(language.fit_profiles(documents, "text", "lang", _LANGS), "string", "text", path)
+    profiles = stored.load_profiles(spark, path, scored=documents)
+    return language.detect_language(documents, "doc_id", "text", profiles)
+
+
 def _sql_slots() -> str:
     sums = ", ".join(f"count(*) filter (where lang = '{x}') as {x}" for x in _LANGS)
     logs = ", ".join(

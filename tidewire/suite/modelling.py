@@ -10,6 +10,8 @@ from tidewire.operators import scaling, split
 from tidewire.operators.windows import SeriesOrder, row_sequences
 from tidewire.plans import market_panel as market
 from tidewire.plans import model_table as tables
+from tidewire.session import stage_path
+from tidewire.sources import models as stored
 from tidewire.suite import inputs
 from tidewire.suite.market import CURRENT_CTE
 from tidewire.suite.registry import query, r6, rounded, table
@@ -141,6 +143,17 @@ def scaled_features(spark, sf_dir):
     return rounded(_scaled(spark, sf_dir).drop("series_id"))
 
 
+@query(f"with {_SCALED_CTE} select date, target_tail, {', '.join(r6(c, c) for c in _SCALED)} from scaled")
+def scaled_by_stored_statistics(spark, sf_dir):
+    """The scaled features once more, by a scaler that was saved and loaded."""
+    rows = model_rows(spark, sf_dir)
+    train, _ = split.split_by_date(rows, "date", inputs.SPLIT, inputs.TEST_END)
+    path = stage_path(spark, "scaler")
+    stored.save_scaler(scaling.fit_scaler(train, _SCALED), rows, path, {"until": inputs.SPLIT})
+    scaler = stored.load_scaler(spark, path, scored=rows)
+    return rounded(scaler.apply(rows).select("date", "target_tail", *_SCALED))
+
+
 @query(f"""
 with {TABLE_CTE}
 select case when date < date '1999-01-01' then 'train' else 'test' end as part, count(*) as n,
@@ -193,9 +206,9 @@ from windows where len(seq) = {k}
 """
 
 
-def _sequences(spark, sf_dir, k: int):
+def _sequences(spark, sf_dir, k: int, chunk_rows: int | None = None):
     rows = _scaled(spark, sf_dir).na.drop(subset=_SCALED)
-    samples = row_sequences(rows, SeriesOrder(("series_id",), ("date",)), _SEQUENCE, k)
+    samples = row_sequences(rows, SeriesOrder(("series_id",), ("date",)), _SEQUENCE, k, chunk_rows=chunk_rows)
     cell = {f"s{i}_{j}": F.col("sequence")[i - 1][j - 1] for i in (1, 5, k) for j in (1, 2, 3)}
     total = F.aggregate(F.flatten("sequence"), F.lit(0.0), lambda a, x: a + x)
     return rounded(
@@ -219,6 +232,12 @@ def row_sequences_22(spark, sf_dir):
     return _sequences(spark, sf_dir, 22)
 
 
+@query(_sql_sequences(22))
+def row_sequences_in_chunks(spark, sf_dir):
+    """The same windows where no task holds a whole series."""
+    return _sequences(spark, sf_dir, 22, chunk_rows=250)
+
+
 @query(f"""
 with scores as (select vec_id, embedding::double[] as e from embeddings),
 shifted as (select vec_id, e, list_transform(e, lambda x: exp(x - list_max(e))) as p from scores)
