@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm import awkward
 from tidewire.llm import line_dedup
@@ -47,6 +48,29 @@ def test_long_run_of_short_lines(spark):
     assert sorted(tuple(r) for r in cleaned.collect()) == brute(rows, 30)
 
 
+def test_hot_run_is_split(spark):
+    """Half of all windows belong to one run: its rows are dealt to several tasks, and the result is the plain one."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB", "spark.sql.shuffle.partitions": "8",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    hot = F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id"))
+    keyed = spark.range(0, 40000, 1, 8).select("id", F.xxhash64("id").alias("h"), F.lit(0).alias("line"), F.lit(1).alias("size"), hot.alias("head"), hot.alias("tail"))
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        keyed = line_dedup.staged(keyed, "keyed")
+        firsts = keyed.groupBy("size", "head", "tail").agg(F.min(F.struct("id", "h", "line")).alias("first"))
+        later = line_dedup._later(keyed, line_dedup.staged(firsts, "firsts"))
+        assert sorted(r["id"] for r in later.collect()) == list(range(2, 40000, 2))
+        assert "skew=true" in later._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_repeated_rows_of_short_lines(spark):
     """Rows that repeat id and text are one document: its runs of several short lines are found as in a single row."""
     run = "a b\nc d\ne f\ng h\ni j"

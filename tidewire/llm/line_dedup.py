@@ -111,7 +111,16 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     keyed = staged(keyed, "intervals")
     place = F.struct(*_AT)
     firsts = keyed.groupBy("size", "head", "tail").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("size", "head", "tail", "first")
-    return keyed.join(firsts, ["size", "head", "tail"]).where(place > F.col("first")).select("id", "h", "line", "size")
+    return _later(keyed, staged(firsts, "first-places")).select("id", "h", "line", "size")
+
+
+def _later(keyed: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Windows behind the first of their interval.
+
+    `firsts` must be a written table: behind an aggregate on the same key, adaptive execution
+    does not split the windows of a run that very many documents hold.
+    """
+    return keyed.join(firsts, ["size", "head", "tail"]).where(F.struct(*_AT) > F.col("first"))
 
 
 def _deleter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
