@@ -307,3 +307,23 @@ def test_sketched_quantiles_by_rank(spark, tmp_path):
     for r in sketches.quantiles(tens, shares).collect():
         close(r, values[days // 10 == r["ten"]])
     assert sketches.sketched(awkward.limit(0), "v", ["day"]).count() == 0
+
+
+def test_csv_rejects(spark, tmp_path):
+    """Each kind of bad record, between good ones with quotes, commas, line ends and empty fields."""
+    lines = [
+        "id,name,price", '1,"a ""b"", c",1.5', '2,"two\nlines",2.5', "x,bad id,1.0", "3,few", "4,many,1.0,9",
+        '5,,', '6,"in, quotes",oops', "7,last,7.0",
+    ]
+    (tmp_path / "a.csv").write_text("\n".join(lines) + "\n")
+    (tmp_path / "b.csv").write_text("id,name,price\n8,eight,8.0\n9,bad price,-\n")
+    good, rejected = tables.read_csv_checked(spark, str(tmp_path), "id int, name string, price double")
+    assert good.count() == 5 and rejected.count() == 5
+    assert sorted(tuple(r) for r in good.collect()) == [
+        (1, 'a "b", c', 1.5), (2, "two\nlines", 2.5), (5, None, None), (7, "last", 7.0), (8, "eight", 8.0)
+    ]
+    found = sorted((r["source_file"][-5:], r["line"]) for r in rejected.collect())
+    assert found == [
+        ("a.csv", "3,few"), ("a.csv", "4,many,1.0,9"), ("a.csv", '6,"in, quotes",oops'), ("a.csv", "x,bad id,1.0"), ("b.csv", "9,bad price,-"),
+    ]
+    assert good.select("name").filter("name = 'last'").count() == 1

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,24 +56,46 @@ def spread(df: DataFrame, key: str, tasks: int | None) -> DataFrame:
     return df.repartition(tasks, key) if tasks else df
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """CSV with header; quoted fields may hold quotes and line ends.
+_REJECTED = "_rejected_line"
 
-    Such a file cannot be split, so it is one task: for exchange with other programs.
-    Between stages use Parquet.
-    """
+
+def _csv_reader(spark: SparkSession) -> DataFrameReader:
     return (
-        spark.read.schema(schema)
-        .option("header", True)
+        spark.read.option("header", True)
         .option("multiLine", True)
         .option("quote", '"')
         .option("escape", '"')
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
-        .csv(path)
     )
 
 
+def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
+    """CSV with header; quoted fields may hold quotes and line ends.
+
+    Such a file cannot be split, so it is one task: for exchange with other programs.
+    Between stages use Parquet. Fields that do not fit the schema are null; see
+    `read_csv_checked`.
+    """
+    return _csv_reader(spark).schema(schema).csv(path)
+
+
+def read_csv_checked(spark: SparkSession, path: str, schema: str | T.StructType) -> tuple[DataFrame, DataFrame]:
+    """The rows that fit the schema, and the others as they stand: ``source_file, line``.
+
+    A record with too few or too many fields, or with a field of another type, is
+    rejected whole. The files are parsed once and both parts written: which records fit
+    must not depend on the columns that a later query happens to read.
+    """
+    wanted = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    marked = T.StructType([*wanted.fields, T.StructField(_REJECTED, T.StringType())])
+    reader = _csv_reader(spark).schema(marked).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _REJECTED)
+    parsed = staged(reader.csv(path).withColumn("source_file", F.input_file_name()), "csv-records")
+    good = parsed.filter(F.col(_REJECTED).isNull()).drop(_REJECTED, "source_file")
+    line = F.regexp_replace(_REJECTED, r"\r?\n$", "")
+    return good, parsed.filter(F.col(_REJECTED).isNotNull()).select("source_file", line.alias("line"))
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     (
         df.write.mode(mode)

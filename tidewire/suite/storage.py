@@ -105,6 +105,27 @@ def csv_roundtrip(spark, sf_dir):
     return rounded(back.withColumn("digest", F.md5("text")).drop("text"))
 
 
+@query("""
+select o_orderkey, o_orderkey % 7 = 0 or o_orderkey % 11 = 0 as rejected,
+  case when o_orderkey % 7 <> 0 and o_orderkey % 11 <> 0 then round(o_totalprice, 2) + 0.0::double end as price,
+  case when o_orderkey % 7 <> 0 and o_orderkey % 11 <> 0 then cast(o_orderdate as date) end as day
+from orders
+""")
+def csv_rejects(spark, sf_dir):
+    """All orders through CSV, some with a price or a day that is none: those records are set apart, whole and readable."""
+    key = F.col("o_orderkey")
+    price = F.when(key % 7 == 0, "n/a").otherwise(F.col("o_totalprice").cast("double").cast("string"))
+    day = F.when(key % 11 == 0, "no day").otherwise(F.col("o_orderdate").cast("date").cast("string"))
+    path = stage_path(spark, "orders-csv")
+    tables.write_csv(table(spark, sf_dir, "orders").select(key, price.alias("price"), day.alias("day")), path)
+    good, rejected = tables.read_csv_checked(spark, path, "o_orderkey bigint, price double, day date")
+    back = F.regexp_extract("line", r'^"(\d+)",', 1).cast("long")
+    parts = good.withColumn("rejected", F.lit(False)).unionByName(
+        rejected.select(back.alias("o_orderkey"), F.lit(True).alias("rejected")), allowMissingColumns=True
+    )
+    return rounded(parts.select("o_orderkey", "rejected", "price", "day"), 2)
+
+
 _TODO_CTE = f"""{_PAGES_CTE},
 todo as (
   select page_id, strftime(date '2024-01-01' + cast(page_id % 30 as integer), '%Y-%m-%d') as news_date, url_norm
