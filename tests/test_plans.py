@@ -2,9 +2,11 @@
 
 import datetime
 import math
+import re
 import subprocess
 import sys
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -118,6 +120,25 @@ def test_language(spark):
     assert found == {1: "en", 2: "fr", 3: "unknown", 4: "unknown"}
 
 
+@pytest.mark.parametrize("share", [1, 8, 1 << 16])
+def test_language_moves_rare_words_only(spark, monkeypatch, share):
+    """None, some or all words of the profile are frequent; ids that repeat are one text, null ids none."""
+    monkeypatch.setattr(language, "FREQUENT", share)
+    texts = [("the cat and the dog", "en"), ("le chat et le chien", "fr"), ("the house", "en"), ("la maison", "fr")]
+    profiles = language.fit_profiles(spark.createDataFrame(texts, "text string, lang string"), "text", "lang", ["en", "fr"])
+    rows = [(1, "The dog."), (2, "le chat le"), (3, "12"), (1, "house maison"), (None, "le"), (4, None), (5, "das"), (6, "the le chat")]
+    df = spark.createDataFrame(rows, "id int, text string")
+    weight = {r["word"]: (r["en"], r["fr"]) for r in profiles.collect()}
+    wanted = {}
+    for i in {i for i, _ in rows}:
+        met = [weight[w] for j, t in rows if j == i and i is not None for w in re.findall(r"[a-z]+", (t or "").lower()) if w in weight]
+        en, fr = (round(sum(m[k] for m in met), 6) for k in (0, 1))
+        wanted[i] = "unknown" if not met else "en" if en >= fr else "fr"
+    detected = language.detect_language(df, "id", "text", profiles)
+    assert sorted((r["id"] or 0, r["lang"]) for r in detected.collect()) == sorted((i or 0, wanted[i]) for i, _ in rows)
+    assert "BroadcastHashJoin" in detected._jdf.queryExecution().executedPlan().toString()
+
+
 def test_language_in_row(spark):
     truth = spark.createDataFrame(
         [("the cat and the dog", "en"), ("le chat et le chien", "fr"), ("the house", "en"), ("das Haus", "de"), (None, "en")],

@@ -1,13 +1,14 @@
 """Language of a text from word profiles fitted on labelled texts.
 
-Two forms. A profile of all words is a table, and scoring is a join that moves every
-word of every text. A profile of slots is one row: words are hashed into a fixed
+Two forms. A profile of all words is a table, and scoring is a join that moves the
+words that are not frequent. A profile of slots is one row: words are hashed into a fixed
 number of slots, a language has one array of weights, and a text is scored where it
 lies, without a shuffle. Words that share a slot share its weight.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -20,15 +21,6 @@ def words(value: Column) -> Column:
     return F.regexp_extract_all(F.lower(value), F.lit(r"\p{L}+"), F.lit(0))
 
 
-def word_counts(df: DataFrame, text_col: str, *keep: str) -> DataFrame:
-    """``keep..., word, n``: the words of each text with their number.
-
-    All words of a text lie in one row, so the partial aggregate leaves one row per
-    text and word for the shuffle.
-    """
-    return df.select(*keep, F.explode(words(F.col(text_col))).alias("word")).groupBy(*keep, "word").agg(F.count("*").alias("n"))
-
-
 def fit_profiles(df: DataFrame, text_col: str, lang_col: str, languages: Sequence[str]) -> DataFrame:
     """Log weights per word and language, for all words: ``word`` and one column per language.
 
@@ -47,19 +39,29 @@ def fit_profiles(df: DataFrame, text_col: str, lang_col: str, languages: Sequenc
     return weighted
 
 
+#: A word counts as frequent if it makes up at least one in so many of what a language's weights share out.
+FREQUENT = 1 << 16
+
+
 def detect_language(df: DataFrame, id_col: str, text_col: str, profiles: DataFrame) -> DataFrame:
     """``id_col, lang`` for every row; ``unknown`` where no profile word occurs.
 
-    Whole texts count. The profile has as many rows as there are words, so the join is
-    left to adaptive execution, which also splits a very frequent word.
+    Whole texts count. A profile has as many rows as there are words. Its frequent words,
+    at most FREQUENT per language as shares add up to one, are broadcast, so most words are
+    summed where their text lies and leave one row per text for the shuffle. Only the
+    others are moved to the rest of the profile, a join left to adaptive execution.
     """
     languages = [c for c in profiles.columns if c != "word"]
-    sums = (
-        word_counts(df, text_col, id_col)
-        .join(profiles, "word")
-        .groupBy(id_col)
-        .agg(*[F.round(F.sum(F.col(x) * F.col("n")), 6).alias(x) for x in languages])
-    )
+    often = F.array_max(F.array(*languages)) >= -math.log(FREQUENT)
+    frequent, rest = F.broadcast(profiles.filter(often)), profiles.filter(~often)
+    found = df.select(id_col, F.explode(words(F.col(text_col))).alias("word"))
+
+    def summed(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(id_col).agg(*[F.sum(x).alias(x) for x in languages])
+
+    others = found.join(frequent.select("word"), "word", "left_anti")
+    parts = summed(found.join(frequent, "word")).unionByName(summed(others.join(rest, "word")))
+    sums = parts.groupBy(id_col).agg(*[F.round(F.sum(x), 6).alias(x) for x in languages])
     scores = F.array(*[F.col(x) for x in languages])
     names = F.array(*[F.lit(x) for x in languages])
     best = F.element_at(names, F.array_position(scores, F.array_max(scores)).cast("int"))
