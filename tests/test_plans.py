@@ -298,6 +298,34 @@ def test_term_weights(spark):
     assert found[3, "élan"] == pytest.approx(1.0)
 
 
+@pytest.mark.parametrize("slots,spare", [(1 << 21, 4), (1 << 21, 1), (8, 1)])
+def test_frequent_terms(spark, monkeypatch, slots, spare):
+    """The exact vocabulary, also where slots are shared by many terms and the fullest ones do not suffice."""
+    monkeypatch.setattr(text_classifier, "SLOTS", slots)
+    monkeypatch.setattr(text_classifier, "SPARE", spare)
+    texts = [[f"t{j}" for j in range(60) if (i * 7 + j) % (j + 1) < 3] * (1 + i % 2) for i in range(30)] + [[], None]
+    terms = spark.createDataFrame([(t,) for t in texts], "_terms array<string>")
+    tf, df = Counter(t for x in texts for t in x or []), Counter(t for x in texts for t in {*(x or [])})
+    wanted = [(t, n, df[t]) for t, n in sorted(tf.items(), key=lambda r: (-r[1], r[0]))]
+    for most in (1, 10, 25, 1000):
+        found = text_classifier.vocabulary(text_classifier.frequent_terms(terms, most), most).collect()
+        assert [(r["term"], r["tf"], r["df"]) for r in found] == wanted[:most]
+    assert text_classifier.frequent_terms(terms.limit(0), 5).count() == 0
+
+
+def test_term_weights_of_repeated_ids(spark):
+    """Rows of one id are one text, rows without id another; only chosen terms count for the length."""
+    rows = [(1, "solar wind"), (2, "wind farm"), (1, "wind"), (None, "farm gate"), (None, "farm"), (4, "")]
+    df = spark.createDataFrame(rows, "id int, t string")
+    weights = text_classifier.term_weights(df, "id", "t", max_terms=2)
+    idf = lambda df: math.log(7 / (1 + df)) + 1
+    wind, farm = idf(2), idf(2)
+    norm = math.hypot(wind, farm)
+    found = {(r["id"], r["term"]): r["weight"] for r in weights.collect()}
+    assert found == pytest.approx({(1, "wind"): 1, (2, "wind"): wind / norm, (2, "farm"): farm / norm, (None, "farm"): 1})
+    assert text_classifier.term_weights(df.limit(0), "id", "t").count() == 0
+
+
 def test_text_classifier(spark):
     words = [("solar wind power", "climate_yes"), ("football match goal", "climate_no")]
     rows = [(i, words[i % 2][0] + f" w{i}", words[i % 2][1]) for i in range(40)] + [(99, "x", "other"), (98, "  ", "climate_no")]

@@ -17,7 +17,7 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +25,8 @@ from tidewire import fixed_values as fv
 from tidewire.functions import numeric
 from tidewire.session import staged
 
+#: Slots of the hash by which terms are first counted, and how many times the wanted terms the fullest slots are.
+SLOTS, SPARE = 1 << 21, 4
 HELPERS = ("_words", "_kept", "_pairs", "_terms", "_counts", "_weighted", "_features")
 
 
@@ -44,8 +46,8 @@ def with_terms(df: DataFrame, text_col: str, stop_words: Sequence[str] | None =
     return terms.drop("_words", "_kept", "_pairs")
 
 
-def term_counts(terms: DataFrame) -> DataFrame:
-    """``term, tf, df`` in one aggregate.
+def term_counts(terms: DataFrame, slots: DataFrame | None = None) -> DataFrame:
+    """``term, tf, df`` in one aggregate, of all terms or of those in the given slots.
 
     Each text's terms are sorted, so a term that differs from its predecessor is
     the first of its text and counts for the document frequency.
@@ -55,11 +57,15 @@ def term_counts(terms: DataFrame) -> DataFrame:
         F.col("_ordered"),
         lambda t, i: F.struct(t.alias("term"), ((i == 0) | (F.get(F.col("_ordered"), i - 1) != t)).alias("first")),
     )
-    return (
-        ordered.select(F.explode(marked).alias("t"))
-        .groupBy("t.term")
-        .agg(F.count("*").alias("tf"), F.count_if("t.first").alias("df"))
-    )
+    # an outer explode lets no filter on the terms sink below the cutting
+    single = ordered.select(F.explode_outer(marked).alias("t")).filter("t is not null").select("t.*")
+    if slots is not None:
+        single = single.withColumn("_slot", term_slot("term")).join(F.broadcast(slots.select("_slot")), "_slot", "left_semi")
+    return single.groupBy("term").agg(F.count("*").alias("tf"), F.count_if("first").alias("df"))
+
+
+def term_slot(term: str) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(SLOTS)).cast("int")
 
 
 def vocabulary(counts: DataFrame, max_terms: int = fv.MAX_TERMS) -> DataFrame:
@@ -67,24 +73,55 @@ def vocabulary(counts: DataFrame, max_terms: int = fv.MAX_TERMS) -> DataFrame:
     return counts.orderBy(F.desc("tf"), "term").limit(max_terms)
 
 
+def frequent_terms(terms: DataFrame, max_terms: int = fv.MAX_TERMS) -> DataFrame:
+    """The exact `vocabulary` of all terms, without counting all of them by name.
+
+    Most pairs are rare, and counting each would move nearly every term of every text.
+    So occurrences are first counted per slot of a hash: a slot's load is no less than
+    the count of any of its terms. Terms of the fullest slots are counted by name; if the
+    last one chosen has more than the fullest other slot, no other term can be among them.
+    Otherwise the terms of all slots that reach its count are counted.
+    """
+    single = terms.select(F.explode_outer("_terms").alias("term")).filter("term is not null")
+    loads = staged(single.groupBy(term_slot("term").alias("_slot")).agg(F.count("*").alias("load")), "term-slots")
+    fullest, wanted = [F.desc("load"), "_slot"], SPARE * max_terms
+    chosen = staged(vocabulary(term_counts(terms, loads.orderBy(*fullest).limit(wanted)), max_terms), "vocabulary")
+    least = chosen.agg(F.min("tf")).first()[0]
+    other = loads.orderBy(*fullest).offset(wanted).limit(1).first()
+    if other and other["load"] >= least:
+        chosen = staged(vocabulary(term_counts(terms, loads.filter(F.col("load") >= least)), max_terms), "vocabulary")
+    return chosen
+
+
 def smooth_idf(n_docs: Column, df: Column) -> Column:
     """ln((1 + n) / (1 + df)) + 1."""
     return F.ln((1 + n_docs) / (1 + df)) + 1
 
 
 def term_weights(df: DataFrame, id_col: str, text_col: str, max_terms: int = fv.MAX_TERMS, stop_words: Sequence[str] | None = None) -> DataFrame:
-    """``id, term, weight`` in long form: tf * idf, scaled to length 1 per text."""
-    # texts are cut into terms a single time; an outer explode lets no filter on the terms sink below the cutting
-    terms = with_terms(df.select(id_col, text_col), text_col, stop_words).select(id_col, F.explode_outer("_terms").alias("term"))
-    per_text = staged(terms.groupBy(id_col, "term").agg(F.count("term").alias("n")), "term-counts")
+    """``id, term, weight`` in long form: tf * idf, scaled to length 1 per text.
+
+    Only chosen terms are counted per text, by their place in the vocabulary, and only these
+    counts are shuffled. The vocabulary, at most ``max_terms`` rows, comes to the driver
+    and goes into the plan as constants.
+    """
+    terms = with_terms(df.select(id_col, text_col), text_col, stop_words)
+    rows = frequent_terms(terms, max_terms).select("term").orderBy("term").collect()
+    places = df.sparkSession.createDataFrame([(r["term"], i) for i, r in enumerate(rows)], "term string, place int")
+    single = terms.select(id_col, F.explode_outer("_terms").alias("term")).join(F.broadcast(places), "term")
+    per_term = single.groupBy(id_col, "place").agg(F.count("*").alias("n"))
+    # rows of one id are one text; its list has at most max_terms entries
+    per_text = staged(per_term.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("place", "n"))).alias("_counts")), "term-counts")
     n_docs = df.agg(F.count("*"))
-    counts = per_text.filter("term is not null").groupBy("term").agg(F.sum("n").alias("tf"), F.count("*").alias("df"))
-    chosen = vocabulary(counts, max_terms).withColumn("_n", n_docs.scalar())
-    weights = chosen.select("term", smooth_idf(F.col("_n"), F.col("df")).alias("idf"))
-    # at most max_terms rows are broadcast; the window holds the terms of one text
-    raw = per_text.join(F.broadcast(weights), "term").select(id_col, "term", (F.col("n") * F.col("idf")).alias("raw"))
-    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(id_col)))
-    return raw.select(id_col, "term", (F.col("raw") / norm).alias("weight"))
+    found = per_text.select(F.explode("_counts.place").alias("place")).groupBy("place").agg(F.count("*").alias("df"))
+    weights = found.withColumn("_n", n_docs.scalar()).select("place", smooth_idf(F.col("_n"), F.col("df")).alias("idf"))
+    idf = {r["place"]: r["idf"] for r in weights.collect()}
+    known = F.lit([idf.get(i, 0.0) for i in range(len(rows))]) if rows else F.array().cast("array<double>")
+    raw = per_text.withColumn("_raw", F.transform("_counts", lambda c: c["n"] * F.get(known, c["place"])))
+    norm = F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda total, w: total + w * w))
+    scaled = F.explode(F.transform("_counts", lambda c, i: F.struct(c["place"].alias("place"), (F.get("_raw", i) / F.col("_norm")).alias("weight"))))
+    weighted = raw.withColumn("_norm", norm).select(id_col, scaled.alias("w")).select(id_col, "w.*")
+    return weighted.join(F.broadcast(places), "place").select(id_col, "term", "weight")
 
 
 def fit_text_features(train: DataFrame, text_col: str, max_terms: int = fv.MAX_TERMS, stop_words: Sequence[str] | None = None) -> PipelineModel:
@@ -94,7 +131,7 @@ def fit_text_features(train: DataFrame, text_col: str, max_terms: int = fv.MAX_T
     """
     terms = with_terms(train.select(text_col), text_col, stop_words)
     n_docs = train.agg(F.count("*"))
-    chosen = vocabulary(term_counts(terms), max_terms).withColumn("_n", n_docs.scalar())
+    chosen = vocabulary(frequent_terms(terms, max_terms), max_terms).withColumn("_n", n_docs.scalar())
     rows = chosen.select("term", smooth_idf(F.col("_n"), F.col("df")).alias("idf")).collect()
     counter = CountVectorizerModel.from_vocabulary([r["term"] for r in rows], inputCol="_terms", outputCol="_counts")
     idf = Vectors.dense([r["idf"] for r in rows])
