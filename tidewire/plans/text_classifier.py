@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import (
@@ -156,7 +157,9 @@ def fit_text_classifier(
 ) -> PipelineModel:
     """Term weights and an L2 logistic regression; the penalty is 1 / (C n)."""
     features = fit_text_features(train, text_col, max_terms, stop_words)
-    ready = features.transform(train).select("_features", F.col(label_col).cast("double").alias(label_col)).persist()
+    ready = features.transform(train).select("_features", F.col(label_col).cast("double").alias(label_col))
+    # the fit holds blocks of the rows in memory itself: kept here on disk, they leave it that room
+    ready.persist(StorageLevel.DISK_ONLY)
     try:
         n = ready.count()
         classifier = LogisticRegression(
